@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import table, tune
+from .bpe import decode, encode
 from .chat import format_conversations, loss_text, read_turns
 from .warc import merge_index, read_archives, with_roles, write_archives
+from .packing import pack, pieces
+from .token_counts import count_tokens
 from .media import audio_features, encode_wav, padded_payload
 
 
@@ -91,5 +94,30 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'r
 FROM f
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_audio_features": op1_audio_features, "op2_chat_format": op2_chat_format, "op4_warc_index": op4_warc_index}
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    path = vocabulary("word_bpe_49k.json")
+    out = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return pack(pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_audio_features": op1_audio_features, "op2_chat_format": op2_chat_format, "op3_token_counts": op3_token_counts, "op4_warc_index": op4_warc_index, "op8_bpe_round_trip": op8_bpe_round_trip, "op9_best_fit_packing": op9_best_fit_packing}
 SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op4_warc_index": OP4_SQL}
