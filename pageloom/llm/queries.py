@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table, tune
+from ._common import table, tune, written
 from .bpe import decode, encode
 from .chat import format_conversations, loss_text, read_turns
 from .warc import merge_index, read_archives, with_roles, write_archives
 from .packing import pack, pieces
+from .simhash import edited, fingerprints, likeness, radius_links, with_next
 from .token_counts import count_tokens
 from .media import audio_features, encode_wav, padded_payload
 
@@ -107,6 +108,27 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs = with_next(table(spark, sf_dir, "documents"))
+    docs = docs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "text", "next_text")
+    docs = docs.withColumn("edited", edited(F.col("text"), F.col("next_text"))).withColumn("edited_sha256", F.sha2("edited", 256))
+    names = {"text": "fingerprint", "next_text": "next_fingerprint", "edited": "edited_fingerprint"}
+    first = written(fingerprints(docs, names, keep=("doc_id", "n_chars", "edited_sha256")), "simhash")  # it is read twice
+    links = radius_links(first)
+    hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return first.join(links, "fingerprint", "left").select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        hexed("fingerprint").alias("fingerprint"),
+        hexed("edited_fingerprint").alias("edited_fingerprint"),
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     path = vocabulary("word_bpe_49k.json")
@@ -119,5 +141,5 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_audio_features": op1_audio_features, "op2_chat_format": op2_chat_format, "op3_token_counts": op3_token_counts, "op4_warc_index": op4_warc_index, "op8_bpe_round_trip": op8_bpe_round_trip, "op9_best_fit_packing": op9_best_fit_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_audio_features": op1_audio_features, "op2_chat_format": op2_chat_format, "op3_token_counts": op3_token_counts, "op4_warc_index": op4_warc_index, "op7_simhash": op7_simhash, "op8_bpe_round_trip": op8_bpe_round_trip, "op9_best_fit_packing": op9_best_fit_packing}
 SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op4_warc_index": OP4_SQL}
