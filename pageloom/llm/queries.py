@@ -11,6 +11,7 @@ from ._common import table, tune, written
 from .bpe import decode, encode
 from .chat import format_conversations, loss_text, read_turns
 from .warc import merge_index, read_archives, with_roles, write_archives
+from .jaccard import jaccard_components
 from .packing import pack, pieces
 from .simhash import edited, fingerprints, likeness, radius_links, with_next
 from .token_counts import count_tokens
@@ -141,5 +142,23 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_audio_features": op1_audio_features, "op2_chat_format": op2_chat_format, "op3_token_counts": op3_token_counts, "op4_warc_index": op4_warc_index, "op7_simhash": op7_simhash, "op8_bpe_round_trip": op8_bpe_round_trip, "op9_best_fit_packing": op9_best_fit_packing}
-SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op4_warc_index": OP4_SQL}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w
+), n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 80 * (a.c + b.c - i)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(node, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.reach)
+SELECT d.doc_id, coalesce(n.c, 0)::BIGINT AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY 1) m ON m.node = d.doc_id
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_audio_features": op1_audio_features, "op2_chat_format": op2_chat_format, "op3_token_counts": op3_token_counts, "op4_warc_index": op4_warc_index, "op7_simhash": op7_simhash, "op8_bpe_round_trip": op8_bpe_round_trip, "op9_best_fit_packing": op9_best_fit_packing, "op10_jaccard_join": op10_jaccard_join}
+SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op4_warc_index": OP4_SQL, "op10_jaccard_join": OP10_SQL}
