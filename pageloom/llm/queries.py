@@ -14,6 +14,7 @@ from .warc import merge_index, read_archives, with_roles, write_archives
 from .jaccard import jaccard_components
 from .packing import pack, pieces
 from .simhash import edited, fingerprints, likeness, radius_links, with_next
+from .substring import drop_repeats
 from .token_counts import count_tokens
 from .media import audio_features, encode_wav, padded_payload
 
@@ -142,6 +143,26 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    out = drop_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+q AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50),
+h AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM q),
+m AS (SELECT h, min(doc_id) AS low FROM h GROUP BY 1),
+r AS (SELECT DISTINCT h.doc_id, unnest(range(h.i, h.i + 50)) AS pos FROM h JOIN m USING (h) WHERE m.low < h.doc_id),
+g AS (SELECT doc_id, count(*) AS n_removed, list(pos) AS gone FROM r GROUP BY 1),
+k AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, ws FROM w LEFT JOIN g USING (doc_id)),
+p AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS pos FROM w),
+kept AS (SELECT p.doc_id, string_agg(x, ' ' ORDER BY p.pos) AS t FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.pos = p.pos WHERE r.pos IS NULL GROUP BY 1)
+SELECT k.doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM k LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return jaccard_components(table(spark, sf_dir, "documents"))
@@ -160,5 +181,5 @@ r(node, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, e.y
 SELECT d.doc_id, coalesce(n.c, 0)::BIGINT AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY 1) m ON m.node = d.doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_audio_features": op1_audio_features, "op2_chat_format": op2_chat_format, "op3_token_counts": op3_token_counts, "op4_warc_index": op4_warc_index, "op7_simhash": op7_simhash, "op8_bpe_round_trip": op8_bpe_round_trip, "op9_best_fit_packing": op9_best_fit_packing, "op10_jaccard_join": op10_jaccard_join}
-SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op4_warc_index": OP4_SQL, "op10_jaccard_join": OP10_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_audio_features": op1_audio_features, "op2_chat_format": op2_chat_format, "op3_token_counts": op3_token_counts, "op4_warc_index": op4_warc_index, "op6_substring_dedup": op6_substring_dedup, "op7_simhash": op7_simhash, "op8_bpe_round_trip": op8_bpe_round_trip, "op9_best_fit_packing": op9_best_fit_packing, "op10_jaccard_join": op10_jaccard_join}
+SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op4_warc_index": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op10_jaccard_join": OP10_SQL}
