@@ -11,6 +11,7 @@ from ._common import table, tune, written
 from .bpe import decode, encode
 from .chat import format_conversations, loss_text, read_turns
 from .warc import merge_index, read_archives, with_roles, write_archives
+from .cotrain import score, train
 from .jaccard import jaccard_components
 from .packing import pack, pieces
 from .simhash import edited, fingerprints, likeness, radius_links, with_next
@@ -143,6 +144,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     out = drop_repeats(table(spark, sf_dir, "documents"))
@@ -181,5 +188,5 @@ r(node, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, e.y
 SELECT d.doc_id, coalesce(n.c, 0)::BIGINT AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY 1) m ON m.node = d.doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_audio_features": op1_audio_features, "op2_chat_format": op2_chat_format, "op3_token_counts": op3_token_counts, "op4_warc_index": op4_warc_index, "op6_substring_dedup": op6_substring_dedup, "op7_simhash": op7_simhash, "op8_bpe_round_trip": op8_bpe_round_trip, "op9_best_fit_packing": op9_best_fit_packing, "op10_jaccard_join": op10_jaccard_join}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_audio_features": op1_audio_features, "op2_chat_format": op2_chat_format, "op3_token_counts": op3_token_counts, "op4_warc_index": op4_warc_index, "op5_quality_classifier": op5_quality_classifier, "op6_substring_dedup": op6_substring_dedup, "op7_simhash": op7_simhash, "op8_bpe_round_trip": op8_bpe_round_trip, "op9_best_fit_packing": op9_best_fit_packing, "op10_jaccard_join": op10_jaccard_join}
 SQL: dict[str, str] = {"op2_chat_format": OP2_SQL, "op4_warc_index": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op10_jaccard_join": OP10_SQL}
