@@ -191,8 +191,8 @@ def window_hashes(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
 def drop_repeats(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, keep, n_words long, n_removed long, kept string (the words that stay, joined by one space), removed array<struct<first, last>> (windows that repeat)."""
-    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *keep).withColumn("th", F.xxhash64("text"))
-    known = rows.where("doc is not null").select("doc", "th", "text")
+    rows = docs.select(F.col(doc).cast("long").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]).withColumn("th", F.xxhash64("_t"))
+    known = rows.where("doc is not null").select("doc", "th", F.col("_t").alias("text"))
     found = written(classes(known), "classes")
     hit = places(known).join(found, ["key", "stretch"]).where("low < doc or several")
     hit = written(hit.select("doc", "th", "first", "last", (F.col("low") < F.col("doc")).alias("whole")), "repeats")
@@ -221,4 +221,4 @@ def drop_repeats(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", ke
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), batch.column(k + 1)], names=["doc_id", *keep, "n_words", "n_removed", "kept", "removed"])
 
     fields = ", ".join(["doc_id long", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])
-    return rows.join(spans, ["doc", "th"], "left").select("doc", *keep, "text", "removed").mapInArrow(run, f"{fields}, n_words long, n_removed long, kept string, removed array<struct<first: int, last: int>>")
+    return rows.join(spans, ["doc", "th"], "left").select("doc", *[f"_k{i}" for i in range(len(keep))], "_t", "removed").mapInArrow(run, f"{fields}, n_words long, n_removed long, kept string, removed array<struct<first: int, last: int>>")
