@@ -36,6 +36,8 @@ from .components import components
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
+_FACTORS = [np.uint64(pow(int(_K[2]), k + 1, 2**64)) for k in range(8)]
+
 
 class ByteHashes(dict):
     """64-bit hashes of words as bytes; `held` words at most, then it starts anew."""
@@ -63,11 +65,13 @@ def shingle_set(text: str, hashes: ByteHashes, size: int = 5) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(w) - size + 1)
-    s = np.full(n, min(size, len(w)), np.uint64)
-    for k in range(min(size, len(w))):
-        s = mix(s * _K[2] + w[k : k + n])
-    return np.unique(s)
+    n, most = max(1, len(w) - size + 1), min(size, len(w))
+    s = w[:n] * _FACTORS[0]
+    for k in range(1, most):
+        s += w[k : k + n] * _FACTORS[k % len(_FACTORS)]
+    s = mix(s + np.uint64(most))
+    s.sort()
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 def _hash128(tokens: np.ndarray) -> tuple[int, int]:
@@ -79,8 +83,10 @@ def needed(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def set_table(docs: DataFrame, *, doc: str, text: str, size: int, per_task: int = 2000) -> DataFrame:
-    """Rows (doc_id, n, h1, h2) with the 128-bit hash of each set, and rows (token, count) with each task's frequent tokens; written once."""
+def set_table(docs: DataFrame, *, doc: str, text: str, size: int, classes: int, per_task: int = 2000) -> DataFrame:
+    """Rows (doc_id, th, n, h1, h2, mins) with the hash of the text, the 128-bit hash of its set and the min-hashes; rows (token, count) with each task's frequent tokens. Written once."""
+    salts = [np.uint64(int(_K[0]) * (2 * c + 1) % 2**64) for c in range(classes)]
+    names = ["doc_id", "th", "n", "h1", "h2", "mins", "token", "count"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, heavy, held, held_n = ByteHashes(), Counter(), [], 0
@@ -98,24 +104,26 @@ def set_table(docs: DataFrame, *, doc: str, text: str, size: int, per_task: int
             held, held_n = [], 0
 
         for batch in batches:
-            rows = []
+            rows, mins = [], []
             for t in strings(batch.column(1)):
                 s = shingle_set(t, hashes, size)
                 rows.append((len(s), *_hash128(s)))
+                mins.append([int(mix(s ^ salt).min().view(np.int64)) for salt in salts] if len(s) else [])
                 held.append(s)
                 held_n += len(s)
             if held_n > 2_000_000:
                 flush()
             n, h1, h2 = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True)) if rows else [pa.array([], pa.int64())] * 3
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, h1, h2, none, none], names=["doc_id", "n", "h1", "h2", "token", "count"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n, h1, h2, pa.array(mins, pa.list_(pa.int64())), none, none], names=names)
         flush()
         top = heavy.most_common(per_task)
         none = pa.nulls(len(top), pa.int64())
         tokens = pa.array(np.array([t for t, _ in top], np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([none, none, none, none, tokens, pa.array([c for _, c in top], pa.int64())], names=["doc_id", "n", "h1", "h2", "token", "count"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(len(top), pa.list_(pa.int64())), tokens, pa.array([c for _, c in top], pa.int64())], names=names)
 
-    return written(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, token long, count long"), "sets")
+    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return written(rows.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, n long, h1 long, h2 long, mins array<long>, token long, count long"), "sets")
 
 
 def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
@@ -125,55 +133,40 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def representatives(docs: DataFrame, sets: DataFrame, *, doc: str, text: str, size: int, classes: int) -> DataFrame:
-    """One row per distinct set: sid (its smallest id), n, mins array<long> (min-hashes), text; bucketed by sid."""
+def representatives(docs: DataFrame, sets: DataFrame, *, doc: str, text: str) -> DataFrame:
+    """One row per distinct set: sid (its smallest id), n, mins array<long>, text; bucketed by sid. A set's row is found by id and text hash; rows that repeat it repeat here, too, which changes nothing."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(doc).cast("long").alias("sid"), F.col(text).cast("string").alias("text")).repartition(n, "sid")
-    rows = rows.join(sets.select("sid", "h1", "h2"), "sid")
-
-    salts = [np.uint64(int(_K[0]) * (2 * c + 1) % 2**64) for c in range(classes)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last = ByteHashes(), set()
-        for batch in batches:
-            at, sizes, mins = [], [], []
-            sids, h1, h2 = (batch.column(i).to_pylist() for i in (0, 2, 3))
-            for i, t in enumerate(strings(batch.column(1))):
-                s = shingle_set(t, hashes, size)
-                key = (sids[i], h1[i], h2[i])
-                if len(s) == 0 or _hash128(s) != key[1:] or key in last:  # another text of this id, or a repeated row
-                    continue
-                last = {k for k in last if k[0] == sids[i]} | {key}
-                at.append(i)
-                sizes.append(len(s))
-                mins.append([int(mix(s ^ salt).min().view(np.int64)) for salt in salts])
-            pick = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), pa.array(sizes, pa.int32()), pa.array(mins, pa.list_(pa.int64())), batch.column(1).take(pick)], names=["sid", "n", "mins", "text"])
-
-    rows = rows.select("sid", "text", "h1", "h2").sortWithinPartitions("sid")
-    made = rows.mapInArrow(run, "sid long, n int, mins array<long>, text string")
-    return bucketed(made, "sid", n)
+    rows = docs.select(F.col(doc).cast("long").alias("sid"), F.col(text).cast("string").alias("text")).repartition(n, "sid").withColumn("th", F.xxhash64("text"))
+    return bucketed(rows.join(sets.select("sid", "th", "mins", "n"), ["sid", "th"]).select("sid", "n", "mins", "text"), "sid", n)
 
 
 def open_groups(members: DataFrame, queries: DataFrame, texts: DataFrame, *, size: int, percent: int, at_once: int = 1000) -> DataFrame:
-    """(sid, grp): the queries (sid, grp) that are similar enough to a member (grp, sid) of the group. A group with many queries is opened `at_once` queries at a time."""
+    """(a, b): links between the nodes of queries (sid, node, grp) and of members (sid, node, grp) that are similar enough, without those that follow from others of the same task. A group with many queries is opened for `at_once` queries at a time."""
     load = queries.groupBy("grp").agg(F.count(F.lit(1)).alias("c")).select("grp", F.ceil(F.col("c") / at_once).cast("int").alias("salts"))
     text = texts.select("sid", "text")
-    left = members.join(load, "grp").select("grp", "sid", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("query"))
-    right = queries.join(load, "grp").select("grp", "sid", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("query"))
+    left = members.join(load, "grp").select("grp", "sid", "node", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("query"))
+    right = queries.join(load, "grp").select("grp", "sid", "node", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("query"))
     rows = left.unionByName(right).join(text, "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = ByteHashes()
-        group, sets, tokens, starts, sizes, union = None, [], None, None, None, None
+        group, sets, nodes, tokens, starts, sizes, union, top = None, [], [], None, None, None, None, {}
+
+        def find(x: int) -> int:
+            while top.get(x, x) != x:
+                top[x] = top.get(top[x], top[x])
+                x = top[x]
+            return x
+
         for batch in batches:
             found = []
-            for grp, salt, query, sid, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for grp, salt, query, sid, node, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = shingle_set(t, hashes, size)
                 if (grp, salt) != group:
-                    group, sets, tokens = (grp, salt), [], None
+                    group, sets, nodes, tokens, top = (grp, salt), [], [], None, {}
                 if not query:
                     sets.append(s)
+                    nodes.append(node)
                     continue
                 if not sets:
                     continue
@@ -191,13 +184,16 @@ def open_groups(members: DataFrame, queries: DataFrame, texts: DataFrame, *, siz
                 else:
                     at = np.minimum(np.searchsorted(s, tokens), len(s) - 1)
                     common = np.add.reduceat((s[at] == tokens).astype(np.int64), starts)
-                if (100 * common >= percent * (len(s) + sizes - common)).any():
-                    found.append((sid, grp))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["sid", "grp"])
+                for i in np.flatnonzero(100 * common >= percent * (len(s) + sizes - common)).tolist():
+                    x, y = find(node), find(nodes[i])
+                    if x != y:
+                        top[x] = y
+                        found.append((node, nodes[i]))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
     order = ["grp", "salt", "query"]
-    dealt = rows.select(*order, "sid", "text").repartition("grp", "salt").sortWithinPartitions(*order)
-    return dealt.mapInArrow(run, "sid long, grp long").distinct()
+    dealt = rows.select(*order, "sid", "node", "text").repartition("grp", "salt").sortWithinPartitions(*order)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def prefixes(texts: DataFrame, hot: list[int], *, size: int, percent: int) -> DataFrame:
@@ -234,54 +230,59 @@ def prefixes(texts: DataFrame, hot: list[int], *, size: int, percent: int) -> Da
 
 def jaccard_components(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, classes: int = 4, hot_tokens: int = 50_000, tile: int = 256) -> DataFrame:
     """Per row of docs: doc_id, n_shingles long, component_id long (the smallest id that is reachable by links, its own included)."""
-    table = set_table(docs, doc=doc, text=text, size=size)
+    table = set_table(docs, doc=doc, text=text, size=size, classes=classes)
     rows = table.where("n is not null")
     hot = [r["token"] for r in table.where("token is not null").groupBy("token").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "token").limit(hot_tokens).collect()]
-    sets = rows.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("sid"), F.count(F.lit(1)).alias("copies"))
-    texts = representatives(docs, sets, doc=doc, text=text, size=size, classes=classes)
+    first_row = F.min(F.struct("doc_id", "th", "mins", "n"))
+    sets = rows.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(first_row.alias("r")).select("h1", "h2", F.col("r.doc_id").alias("sid"), "r.th", "r.mins", "r.n")
+    texts = representatives(docs, sets, doc=doc, text=text)
 
-    # 1. Groups of similar sets.
+    # 1. Connect what is similar to the leader of one of its min-hash classes.
     mins = texts.select("sid", F.posexplode("mins").alias("class", "key"))
     leaders = mins.groupBy("class", "key").agg(F.min_by("sid", F.xxhash64("sid", "class")).alias("grp"), F.count(F.lit(1)).alias("c")).where("c > 1").select("class", "key", "grp")
     pairs = written(mins.join(leaders, ["class", "key"]).where("sid <> grp").select("sid", "grp").distinct(), "leaders")
-    near = open_groups(pairs.select("grp", F.col("grp").alias("sid")).distinct(), pairs, texts, size=size, percent=percent)
-    first = components(near.select(F.col("sid").alias("a"), F.col("grp").alias("b")))
+    near = open_groups(pairs.select("grp", F.col("grp").alias("sid"), F.col("grp").alias("node")).distinct(), pairs.select("sid", F.col("sid").alias("node"), "grp"), texts, size=size, percent=percent)
+    first = components(near)
 
-    # 2. The matrix of tokens and groups; a group is named by its smallest set.
+    # Groups: tiles of a component; what isn't connected yet joins others that have the same leader, in tiles of their own.
     placed = first.select(F.col("node").alias("sid"), "comp").unionByName(first.select(F.col("comp").alias("sid"), "comp").distinct())
-    counts = placed.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    tiled = placed.join(counts, "comp").withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
-    named = tiled.groupBy("comp", "tile").agg(F.min("sid").alias("grp"))
-    grouped = written(tiled.join(named, ["comp", "tile"]).select("sid", "comp", "grp"), "groups")
-    member = texts.select("sid", "text").join(grouped, "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp"), F.coalesce("grp", "sid").alias("grp"), "text")
-    matrix = prefixes(member, hot, size=size, percent=percent).select("comp", "grp", "least", F.explode("tokens").alias("token"))
-    by_token = matrix.groupBy("token", "grp").agg(F.first("comp").alias("comp"), F.min("least").alias("least"))
+    of_leader = placed.select(F.col("sid").alias("grp"), F.col("comp").alias("home"))
+    loose = pairs.join(placed.select("sid"), "sid", "left_anti").join(of_leader, "grp", "left").groupBy("sid").agg(F.min(F.coalesce("home", "grp")).alias("home"))
+    # A tile of sets that aren't connected holds one band of sizes: the least overlap that opens it is that of its smallest set.
+    band = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
+    loose = loose.join(texts.select("sid", band.alias("band")), "sid").select("sid", F.col("sid").alias("node"), "home", F.lit(False).alias("joined"), "band")
+    homed = placed.select("sid", F.col("comp").alias("node"), F.col("comp").alias("home"), F.lit(True).alias("joined"), F.lit(-1).alias("band")).unionByName(loose)
+    counts = homed.groupBy("home", "joined", "band").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+    tiled = homed.join(counts, ["home", "joined", "band"]).withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
+    named = tiled.groupBy("home", "joined", "band", "tile").agg(F.min("sid").alias("grp"))
+    grouped = written(tiled.join(named, ["home", "joined", "band", "tile"]).select("sid", "node", "grp", F.when(F.col("joined"), F.col("home")).otherwise(F.col("grp")).alias("part"), "joined"), "groups")
+
+    # 2. The matrix of tokens and groups. Groups of one part are connected and not compared.
+    member = texts.select("sid", "text").join(grouped, "sid", "left").select(F.coalesce("part", "sid").alias("part"), F.coalesce("grp", "sid").alias("grp"), "text")
+    matrix = prefixes(member, hot, size=size, percent=percent).select("part", "grp", "least", F.explode("tokens").alias("token"))
+    by_token = matrix.groupBy("token", "grp").agg(F.first("part").alias("part"), F.min("least").alias("least"))
     w = W.partitionBy("token")
-    shared = by_token.withColumn("a", F.min("comp").over(w)).withColumn("z", F.max("comp").over(w)).where("a <> z").select("token", "grp", "comp", "least")
+    shared = by_token.withColumn("a", F.min("part").over(w)).withColumn("z", F.max("part").over(w)).where("a <> z").select("token", "grp", "part", "least")
     shared = written(shared, "matrix")
-    other = shared.select("token", *[F.col(c).alias(f"{c}2") for c in ("grp", "comp", "least")])
-    open_ = shared.join(other, "token").where("grp < grp2 and comp <> comp2").groupBy("grp", "grp2").agg(F.count(F.lit(1)).alias("overlap"), F.min(F.least("least", "least2")).alias("bound")).where("overlap >= bound")
-    open_ = written(open_.select("grp", "grp2"), "opened")
+    other = shared.select("token", *[F.col(c).alias(f"{c}2") for c in ("grp", "part", "least")])
+    open_ = shared.join(other, "token").where("grp < grp2 and part <> part2").groupBy("grp", "grp2").agg(F.count(F.lit(1)).alias("overlap"), F.min(F.least("least", "least2")).alias("bound")).where("overlap >= bound")
+    itself = grouped.where("not joined").groupBy("grp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("grp", F.col("grp").alias("grp2"))
+    open_ = written(open_.select("grp", "grp2").unionByName(itself), "opened")
 
     # 3. The larger of two groups is opened, the sets of the other one are its queries.
     sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("c"))
     sized = open_.join(sizes, "grp", "left").withColumnRenamed("c", "c1").join(sizes.select(F.col("grp").alias("grp2"), F.col("c").alias("c2")), "grp2", "left")
     swap = F.coalesce("c1", F.lit(1)) > F.coalesce("c2", F.lit(1))
     asked = sized.select(F.when(swap, F.col("grp")).otherwise(F.col("grp2")).alias("grp"), F.when(swap, F.col("grp2")).otherwise(F.col("grp")).alias("from"))
-    in_group = grouped.select(F.col("grp").alias("g"), F.col("sid").alias("s"))
-    queries = asked.join(in_group, F.col("from") == F.col("g"), "left").select(F.coalesce("s", "from").alias("sid"), "grp")
-    opened = asked.select("grp").distinct()
-    members = opened.join(in_group, F.col("grp") == F.col("g"), "left").select("grp", F.coalesce("s", "grp").alias("sid"))
-    links = open_groups(members, queries, texts, size=size, percent=percent)
-    as_comp = grouped.select(F.col("sid").alias("s"), "comp")
-    edges = links.join(as_comp, F.col("sid") == F.col("s"), "left").select(F.coalesce("comp", "sid").alias("a"), "grp").join(as_comp, F.col("grp") == F.col("s"), "left").select("a", F.coalesce("comp", "grp").alias("b"))
-    second = components(edges)
-
-    # Every row gets its set, the set its group's component, this one the last.
-    final = sets.join(as_comp.withColumnRenamed("comp", "c1"), F.col("sid") == F.col("s"), "left").select("h1", "h2", "copies", F.coalesce("c1", "sid").alias("c1"))
-    final = final.join(second.select(F.col("node").alias("c1"), F.col("comp").alias("c2")), "c1", "left").select("h1", "h2", "copies", F.coalesce("c2", "c1").alias("component_id"))
-    # Salted, so that the copies of a hot set are dealt to many tasks.
+    in_group = grouped.select(F.col("grp").alias("g"), F.col("sid").alias("s"), F.col("node").alias("v"))
+    queries = asked.join(in_group, F.col("from") == F.col("g"), "left").select(F.coalesce("s", "from").alias("sid"), F.coalesce("v", "from").alias("node"), "grp")
+    members = asked.select("grp").distinct().join(in_group, F.col("grp") == F.col("g"), "left").select("grp", F.coalesce("s", "grp").alias("sid"), F.coalesce("v", "grp").alias("node"))
+    second = components(open_groups(members, queries, texts, size=size, percent=percent))
+
+    # Every row gets its set, the set its node, this one the last component. Salted, so that the copies of a hot set are dealt to many tasks.
     salts = 16
+    final = sets.join(grouped.select("sid", "node"), "sid", "left").select("h1", "h2", F.coalesce("node", "sid").alias("node"))
+    final = final.join(second, "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("component_id"))
     final = final.select("h1", "h2", "component_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(final, ["h1", "h2", "salt"], "left")
+    out = rows.select("doc_id", "n", "h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")).join(final, ["h1", "h2", "salt"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
