@@ -121,7 +121,7 @@ class Lexicon:
 class Cache(dict):
     """What a word turns into, filled in batches; `held` words at most, then it starts anew."""
 
-    def __init__(self, held: int = 250_000) -> None:
+    def __init__(self, held: int = 600_000) -> None:
         super().__init__()
         self.held = held
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import strings, written
-from .bpe import Encoder, lexicon_of, word_split
+from .bpe import Encoder, word_split
 
 
 class Bins:
@@ -66,8 +66,7 @@ class Bins:
 
 
 def pieces(docs: DataFrame, path: str, *, size: int = 4096, end_id: int = 1, doc: str = "doc_id", text: str = "text", lexicon: bytes | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece int, start long, length int, ids_crc32 long (and ids binary, little-endian unsigned 32-bit)."""
-    lexicon = lexicon if lexicon is not None else lexicon_of(docs.select(text), path, word_split)
+    """doc_id, piece int, start long, length int, ids_crc32 long (and ids binary, little-endian unsigned 32-bit). A lexicon saves merges, where one is at hand; the ids don't depend on it."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
