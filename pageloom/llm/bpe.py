@@ -40,6 +40,11 @@ WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^\s{_L}0-9]+")
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def word_split(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
@@ -157,7 +162,7 @@ class Encoder:
         if len(self.cache) > self.cache.held:
             self.cache.clear()
         cache = self.cache
-        new = list({w for ws in words if ws for w in ws} - cache.keys())
+        new = set().union(*filter(None, words)) - cache.keys()
         unseen = []
         for w in new:
             if isinstance(w, tuple):
@@ -189,7 +194,7 @@ def encode(docs: DataFrame, path: str, *, doc: str = "doc_id", text: str = "text
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, word_split, shared.value, lambda ids: np.array(ids, "<u4").tobytes())
+        encoder = Encoder(path, word_split, shared.value, as_bytes)
         for batch in batches:
             ids = [b"".join(ws) for ws in encoder.texts(strings(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
