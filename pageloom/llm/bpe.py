@@ -15,6 +15,7 @@ long. Equal texts give equal rows; repeated rows stay; only `keep`, the id and t
 
 from __future__ import annotations
 
+import hashlib
 import mmap
 import os
 import re
@@ -179,6 +180,18 @@ class Encoder:
         return [[self.form(self.library_ids(t))] if o is None else o for o, t in zip(out, texts, strict=True)]
 
 
+_KEPT: dict[tuple, Encoder] = {}
+
+
+def worker_encoder(path: str, split: Callable[[str], list[str]], lexicon: bytes | None, form: Callable[[list[int]], object]) -> Encoder:
+    """This worker process's encoder: words that one of its tasks has resolved serve the next ones. One is kept, so that memory is that of one cache."""
+    key = (path, split.__qualname__, form.__qualname__, lexicon and hashlib.sha256(lexicon).digest())
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Encoder(path, split, lexicon, form)
+    return _KEPT[key]
+
+
 def lexicon_of(texts: DataFrame, path: str, split: Callable[[str], list[str]], *, keep: int = 65_536) -> bytes:
     """The compiled lexicon of the corpus's `keep` most frequent words with the ids that the vocabulary gives them."""
     from tokenizers import Tokenizer

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import strings, written
-from .bpe import Encoder, as_bytes, word_split
+from .bpe import as_bytes, word_split, worker_encoder
 
 
 class Bins:
@@ -70,7 +70,7 @@ def pieces(docs: DataFrame, path: str, *, size: int = 4096, end_id: int = 1, doc
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, word_split, shared.value, as_bytes)
+        encoder = worker_encoder(path, word_split, shared.value, as_bytes)
         end, width = np.array([end_id], "<u4").tobytes(), 4 * size
         for batch in batches:
             rows, parts = [], []
