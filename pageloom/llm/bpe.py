@@ -143,6 +143,9 @@ class Encoder:
         self.library.no_padding()
         self.split, self.form, self.cache = split, form, Cache()
         self.lexicon = Lexicon(lexicon) if lexicon else None
+        ends = np.zeros(self.library.get_vocab_size(), bool)
+        ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
+        self.ends = ends if ends.any() else None
         special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.special = {t: form([i]) for t, i in special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
@@ -150,6 +153,15 @@ class Encoder:
     def library_ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
+    def word_ids(self, words: list[str]) -> list[list[int]]:
+        """The ids of each word. Where tokens mark the ends of words, the words are encoded as one text, whose ids are cut behind the marks; every word has a mark at least, so that as many marks as words are one in each."""
+        if self.ends is not None:
+            ids = self.library_ids(" ".join(words))
+            at = (np.flatnonzero(self.ends[np.array(ids, np.int64)]) + 1).tolist()
+            if len(at) == len(words):
+                return [ids[a:b] for a, b in zip([0, *at], at, strict=False)]
+        return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
     def texts(self, texts: list[str]) -> list[list]:
         """For each text the forms of its words (or of the whole text, where the library encoded it)."""
         words: list[list[str] | None] = []
@@ -172,10 +184,10 @@ class Encoder:
                 cache[w] = self.form(ids)
             else:
                 unseen.append(w)
-        for i in range(0, len(unseen), 4096):
-            part = unseen[i : i + 4096]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[w] = self.form(e.ids)
+        for i in range(0, len(unseen), 1024):
+            part = unseen[i : i + 1024]
+            for w, ids in zip(part, self.word_ids(part), strict=True):
+                cache[w] = self.form(ids)
         out = [None if ws is None else list(map(cache.__getitem__, ws)) for ws in words]
         return [[self.form(self.library_ids(t))] if o is None else o for o, t in zip(out, texts, strict=True)]
 

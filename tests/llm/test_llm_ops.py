@@ -197,3 +197,17 @@ def test_cotraining(spark):
     odd = spark.createDataFrame([(None, None, None, None), (1, "", "en", "s")], "doc_id long, text string, lang string, source string")
     none = cotrain.train(odd, labels.limit(0))
     assert [r.keep for r in cotrain.score(odd, none).collect()] == [True, True]
+
+
+def test_encoder_gives_the_librarys_ids_for_any_plain_text():
+    import random
+
+    import public_tokenizers
+    from pageloom.llm.bpe import Encoder, word_split
+
+    encoder = Encoder(public_tokenizers.path("word_bpe_49k.json"), word_split, None, list)
+    r = random.Random(1)
+    texts = ["".join(r.choice("ab'sst 019.,!<|>-_é\n\t\x01Zçöü~^$") for _ in range(r.randrange(200))) for _ in range(1000)]
+    texts += ["", "<|endoftext|>", "a <|startoftext|>b", "</w> x</w>", "it's ''s '' 'll", "東京 ab"]
+    assert [[x for w in words for x in w] for words in encoder.texts(texts)] == [encoder.library_ids(t) for t in texts]
+    assert encoder.word_ids([]) == []
