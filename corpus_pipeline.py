@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm._common import table, tune, written
+from pageloom.llm._common import stage, table, tune, written
 from pageloom.llm.cotrain import score, train
 from pageloom.llm.jaccard import jaccard_components
 from pageloom.llm.packing import pack, pieces
@@ -19,12 +19,14 @@ from pageloom.llm.substring import drop_repeats
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
     tune(spark)
     return score(docs, train(docs, table(spark, sf_dir, "labels")), keep=COLUMNS).where("keep").select(*COLUMNS)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays; of rows that repeat it, one."""
     tune(spark)
@@ -34,6 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept
 
 
+@stage
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that repeat an earlier document's window of 50 words go; texts without such words stay as they are. Documents left without a word go."""
     tune(spark)
@@ -44,6 +47,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 tokens: a row per piece with its place."""
     tune(spark)
@@ -58,6 +62,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for name, apply in STAGES:
+        docs = written(apply(spark, docs, sf_dir), f"stage-{name}")
     return docs

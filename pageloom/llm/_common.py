@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +31,48 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Folders and tables that the stage under way writes for itself, and those of the stage before it.
+_NOTED: list[list[tuple[str, str | None]]] = []
+_LEFT: list[tuple[str, str | None]] = []
+
+
+def noted(at: str, name: str | None = None) -> None:
+    if _NOTED:
+        _NOTED[-1].append((at, name))
+
+
+def delete(spark: SparkSession, at: str, name: str | None = None) -> None:
+    """Deletes a folder of the shared folder, and the catalog's entry of its table."""
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A pipeline stage: when it begins, the result of the stage before is stored, so that what that one wrote for itself goes."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for at, name in _LEFT:
+            delete(spark, at, name)
+        _LEFT.clear()
+        gc.collect()
+        spark._jvm.System.gc()  # Spark drops the shuffle files of plans that are gone
+        _NOTED.append([])
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            _LEFT.extend(_NOTED.pop())
+
+    return run
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     at = f"{shared_dir(df.sparkSession)}/pageloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
+    noted(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import shared_dir, strings, written
+from ._common import noted, shared_dir, strings, written
 from .components import components
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -129,7 +129,9 @@ def set_table(docs: DataFrame, *, doc: str, text: str, size: int, classes: int,
 def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """df, already dealt by key to `buckets` partitions, as a bucketed table in the shared folder: joins on key don't move it."""
     name = f"pageloom_{uuid.uuid4().hex}"
-    df.write.option("path", f"{shared_dir(df.sparkSession)}/pageloom/{name}").option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    at = f"{shared_dir(df.sparkSession)}/pageloom/{name}"
+    df.write.option("path", at).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    noted(at, name)
     return df.sparkSession.table(name)
 
 
