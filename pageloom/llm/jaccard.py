@@ -139,7 +139,8 @@ def representatives(docs: DataFrame, sets: DataFrame, *, doc: str, text: str) ->
     """One row per distinct set: sid (its smallest id), n, mins array<long>, text; bucketed by sid. A set's row is found by id and text hash; rows that repeat it repeat here, too, which changes nothing."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc).cast("long").alias("sid"), F.col(text).cast("string").alias("text")).repartition(n, "sid").withColumn("th", F.xxhash64("text"))
-    return bucketed(rows.join(sets.select("sid", "th", "mins", "n"), ["sid", "th"]).select("sid", "n", "mins", "text"), "sid", n)
+    same = F.col("th").bitwiseXOR(F.col("of")) == 0  # th as a join key would deal the rows by (sid, th), and each task would write a file of every bucket
+    return bucketed(rows.join(sets.select("sid", F.col("th").alias("of"), "mins", "n"), "sid").where(same).select("sid", "n", "mins", "text"), "sid", n)
 
 
 def open_groups(members: DataFrame, queries: DataFrame, texts: DataFrame, *, size: int, percent: int, at_once: int = 1000) -> DataFrame:
