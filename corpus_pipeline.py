@@ -56,7 +56,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_classifier", quality), ("jaccard_join", near_duplicates), ("substring_dedup", substrings), ("best_fit_packing", packing)]
 
-#: A trained classifier and online packing are no SQL: the tests hold the pipeline against a brute-force version.
+#: A trained classifier and online packing are no SQL: the tests hold the stages against brute force, the classifier against its labels.
 ORACLE_SQL = None
 
 

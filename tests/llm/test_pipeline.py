@@ -1,4 +1,4 @@
-"""The corpus pipeline against a brute-force version of each stage, on what the stage before it kept."""
+"""The stages of the corpus pipeline against brute force, on what the stage before kept; the classifier against the labels it is trained on."""
 
 import re
 import zlib
