@@ -14,7 +14,7 @@ from .warc import merge_index, read_archives, with_roles, write_archives
 from .cotrain import score, train
 from .jaccard import jaccard_components
 from .packing import pack, pieces
-from .simhash import edited, fingerprints, likeness, radius_links, with_next
+from .simhash import NEAR, edited, fingerprints, likeness, radius_links, with_next
 from .substring import drop_repeats
 from .token_counts import count_tokens
 from .media import audio_features, encode_wav, padded_payload
@@ -118,7 +118,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("edited", edited(F.col("text"), F.col("next_text"))).withColumn("edited_sha256", F.sha2("edited", 256))
     names = {"text": "fingerprint", "next_text": "next_fingerprint", "edited": "edited_fingerprint"}
     first = written(fingerprints(docs, names, keep=("doc_id", "n_chars", "edited_sha256")), "simhash")  # it is read twice
-    links = radius_links(first)
+    links = radius_links(first, radius=NEAR)
     hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     return first.join(links, "fingerprint", "left").select(
         "doc_id",

@@ -4,9 +4,13 @@ A text's terms are its word pairs (a text of one word: the word). The 64-bit has
 weight 4 + 4 log2(term frequency), rounded, so that all sums are exact; a bit is 1 where the sum is positive.
 
 ``radius_links`` finds, for each distinct fingerprint, how many others lie within the Hamming radius. With radius r the bits fall into
-r + 2 blocks; two fingerprints within r agree on two whole blocks at least. Each pair of blocks is a table keyed by these bits,
-the pair counts in the first table where it agrees only. A key with more than `tile` fingerprints is cut into tiles, and each pair of tiles
-is compared by itself, so no task gets an unbounded group and no pair is written out.
+r + 2 blocks; two fingerprints within r agree on two whole blocks at least. Each block but the last is a table keyed by its bits, and the
+pair counts in the table of the first block where it agrees only. A small group of one key is compared whole; in a larger one the
+fingerprints that agree on one more, later block are compared. A key with more than `tile` fingerprints is cut into tiles, and each pair
+of tiles is compared by itself, so no task gets an unbounded group and no pair is written out.
+
+``NEAR`` is the radius for near copies: of the pairs of distinct texts with a Jaccard similarity of 0.8 or more (shingles of five words)
+48 of 48 lie within it on sf0.1, 0.991 of 8999 on check_s and 0.998 of 395458 on check_h; within 3 bits 0.229, 0.310 and 0.451.
 
 Defined results. A null or empty text, or one of white space only, has fingerprint 0. Equal texts have equal fingerprints. Rows with
 equal ids are ordered by their texts. A null id comes after all others in descending order. An empty table gives an empty result.
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ._common import strings
 
+NEAR = 10
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -123,13 +128,12 @@ def edited(text: Column, nxt: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - k), F.substring(nxt, F.lit(1), k))
 
 
-def radius_links(prints: DataFrame, *, radius: int = 3, tile: int = 2048) -> DataFrame:
-    """fingerprint, n_links: how many other distinct fingerprints lie within the radius (rows with none are left out)."""
+def radius_links(prints: DataFrame, *, radius: int = 3, tile: int = 65_536, whole: int = 1 << 22) -> DataFrame:
+    """fingerprint, n_links: how many other distinct fingerprints lie within the radius (rows with none are left out). Groups of up to `whole` pairs are compared whole."""
     blocks = radius + 2
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    tables = [masks[i] | masks[j] for i, j in combinations(range(blocks), 2)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in tables]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks[:-1]]
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(signed)])
     rows = prints.select("fingerprint").where("fingerprint is not null").distinct().select("fingerprint", F.explode(keys).alias("x")).select("fingerprint", "x.t", "x.k")
     sizes = rows.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -137,20 +141,44 @@ def radius_links(prints: DataFrame, *, radius: int = 3, tile: int = 2048) -> Dat
     rows = rows.join(sizes, ["t", "k"]).withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("tiles")).cast("int"))
     rows = rows.select("fingerprint", "t", "k", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     rows = rows.select("fingerprint", "t", "k", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    masks64 = np.array(tables, np.uint64)
+    masks64 = np.array(masks, np.uint64)
+
+    def compare(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many of the other side each of a and of b is near to, without pairs that agree on a block of `apart`."""
+        n, m = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        step = max(1, (1 << 18) // len(b))
+        for i in range(0, len(a), step):
+            x = a[i : i + step, None] ^ b[None, :]
+            p, q = np.nonzero(np.bitwise_count(x) <= radius)
+            x = x[p, q]
+            near = x != 0
+            for mask in apart:
+                near &= (x & mask) != 0
+            n[i : i + step] += np.bincount(p[near], minlength=len(n[i : i + step]))
+            m += np.bincount(q[near], minlength=len(b))
+        return n, m
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(group: tuple, fps: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             t, _, lo, hi = group
             a, b = (fps, fps) if lo == hi else (fps[own == lo], fps[own == hi])
             n, m = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-            for i in range(0, len(a), 512):
-                x = a[i : i + 512, None] ^ b[None, :]
-                near = (np.bitwise_count(x) <= radius) & (x != 0)
-                for earlier in masks64[:t]:
-                    near &= (x & earlier) != 0
-                n[i : i + 512] += near.sum(axis=1)
-                m += near.sum(axis=0)
+            if not len(a) or not len(b):
+                return a, n
+            if len(a) * len(b) <= whole:
+                n, m = compare(a, b, masks64[:t])
+            else:
+                for j in range(t + 1, blocks):
+                    apart = np.delete(masks64[:j], t)
+                    at_a, at_b = np.argsort(a & masks64[j]), np.argsort(b & masks64[j])
+                    of_a, of_b = a[at_a] & masks64[j], b[at_b] & masks64[j]
+                    found, starts = np.unique(of_a, return_index=True)
+                    ends = [*starts[1:].tolist(), len(a)]
+                    for c, d, e, f in zip(starts.tolist(), ends, np.searchsorted(of_b, found).tolist(), np.searchsorted(of_b, found, "right").tolist(), strict=True):
+                        if e < f:
+                            x, y = compare(a[at_a[c:d]], b[at_b[e:f]], apart)
+                            n[at_a[c:d]] += x
+                            m[at_b[e:f]] += y
             return (a, n) if lo == hi else (np.concatenate([a, b]), np.concatenate([n, m]))
 
         group, held_f, held_o = None, [], []

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, chat, cotrain, jaccard, media, packing, simhash, substring, token_counts, warc
+from pageloom.llm import bpe, chat, cotrain, jaccard, media, packing, queries, simhash, substring, token_counts, warc
 
 P = pytest.importorskip("public_tokenizers")
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
@@ -146,6 +146,29 @@ def test_simhash(docs, spark):
     assert simhash.with_next(docs.limit(0)).count() == 0
 
 
+def test_simhash_links_near_duplicates(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {i: (int(r.fingerprint, 16), r.n_links) for r in queries.op7_simhash(spark, str(tmp_path)).collect() if (i := r.doc_id) not in (None, 7)}
+    texts = {i: t for i, t in corpus() if i in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() if (w := words(t))}
+    pairs = [(a, b) for a in sets for b in sets if a < b and texts[a] != texts[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    apart = [(rows[a][0] ^ rows[b][0]).bit_count() for a, b in pairs]
+    assert len(pairs) > 40 and sum(d > 3 for d in apart) > 10
+    assert sum(d <= simhash.NEAR for d in apart) >= 0.98 * len(pairs)
+    assert all(rows[a][1] and rows[b][1] for (a, b), d in zip(pairs, apart, strict=True) if 0 < d <= simhash.NEAR)
+
+
+def test_simhash_radius_is_exact(spark):
+    r = random.Random(2)
+    base = [r.getrandbits(64) for _ in range(60)]
+    u = {b ^ sum(1 << k for k in r.sample(range(64), r.randrange(14))) for b in base for _ in range(8)}
+    brute = {a: n for a in u if (n := sum(0 < (a ^ b).bit_count() <= simhash.NEAR for b in u))}
+    prints = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in u], "fingerprint long")
+    for tile, whole in ((65_536, 1 << 22), (65_536, 0), (5, 0), (5, 1 << 22)):
+        found = simhash.radius_links(prints, radius=simhash.NEAR, tile=tile, whole=whole).collect()
+        assert {x.fingerprint & (2**64 - 1): x.n_links for x in found} == brute
+
+
 def test_media(docs):
     out = media.audio_features(docs.select("doc_id", media.encode_wav(media.padded_payload(F.col("text"))).alias("media"))).collect()
     want = sorted((t or "").encode().ljust(192 * max(1, -(-len((t or "").encode()) // 192))) for _, t in corpus())
