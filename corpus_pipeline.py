@@ -1,7 +1,8 @@
 """The corpus pipeline: quality classifier, near-duplicate removal, substring dedup, packing.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next stage's docs. All but
-the last return the columns of `documents`. A null doc_id is kept by every stage as a document that is linked with nothing.
+the last return the columns of `documents`. A null doc_id is a document without a number: near copies of it are found, in the other stages
+it is kept and linked with nothing.
 """
 
 from __future__ import annotations
@@ -28,12 +29,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; of rows that repeat it, one."""
+    """Of each group of linked documents the one with the smallest doc_id stays (a null id is the largest); of rows that repeat it, one.
+
+    A document is a doc_id with a text (null is the empty text), known by their 64-bit hash: rows of one id with texts that aren't linked all stay.
+    """
     tune(spark)
-    groups = jaccard_components(docs.select("doc_id", "text"))
-    gone = groups.where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    return kept
+    rows = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("node"), *COLUMNS)
+    if not rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        one = rows.groupBy("node").agg(F.min(F.struct(*COLUMNS)).alias("r"))  # a task merges its own rows first, so that a hot id is dealt out as a row per task
+        rows = written(one.select("node", "r.*"), "rows")
+    groups = jaccard_components(rows.select(F.col("node").alias("doc_id"), "text")).select(F.col("doc_id").alias("node"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    first = rows.select("node", "doc_id").join(groups, "node").groupBy("component_id").agg(F.min(order).alias("r")).select("r.node")
+    return rows.join(first, "node", "left_semi").select(*COLUMNS)
 
 
 @stage

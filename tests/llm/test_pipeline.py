@@ -86,6 +86,19 @@ def test_one_document_of_each_group_stays(steps):
     assert sorted(r.doc_id for r in steps[2]) == sorted(want)
 
 
+def test_of_repeated_rows_one_stays(spark):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(90)) for x in "abcde")
+    rows = [(5, a)] * 40 + [(9, a + " more"), (9, a + " more"), (None, a), (3, b), (3, b), (3, None), (3, ""), (3, "")]
+    rows += [(7, c), (7, b + " more"), (8, c), (None, d), (None, d), (None, d + " more"), (11, e), (None, None), (None, ""), (12, " "), (12, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = [(r.doc_id, r.text or "") for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    one_of_d = [t for i, t in got if i is None and t]
+    assert len(one_of_d) == 1 and one_of_d[0] in (d, d + " more")
+    want = [(5, a), (3, b), (3, ""), (7, c), (None, one_of_d[0]), (11, e), (None, ""), (12, " ")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), SF).count() == 0
+
+
 def test_repeated_windows_go(steps):
     want = without_repeats(steps[2])
     assert {r.doc_id: (r.text, r.n_chars) for r in steps[3]} == want and len(steps[3]) == len(want)
