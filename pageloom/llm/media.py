@@ -112,11 +112,10 @@ def segments(db: np.ndarray, p: Features) -> list[tuple[int, int]]:
 
 
 def logmel(samples: bytes, rate: int, p: Features) -> tuple[np.ndarray, np.ndarray]:
-    """(frames, mels) log energies as float16 and each frame's energy in dB."""
+    """(frames, mels) log energies as float16 and each frame's energy in dB; the last frame is zero-padded, so that every sample is in one."""
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
     y = resample(x, p)
-    if len(y) < p.window:
-        y = np.pad(y, (0, p.window - len(y)))
+    y = np.pad(y, (0, p.window - len(y) if len(y) < p.window else (p.window - len(y)) % p.hop))
     frames = np.lib.stride_tricks.sliding_window_view(y, p.window)[:: p.hop] * np.hanning(p.window).astype(np.float32)
     power = np.abs(np.fft.rfft(frames, p.fft)) ** 2
     mel = power.astype(np.float32) @ _mel(p, rate * p.up / p.down)

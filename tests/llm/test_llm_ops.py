@@ -180,6 +180,15 @@ def test_media(docs):
     assert media.segments(np.array([0, 0, 9, 9, 1, 0, -9, 0, 0.0]), media.Features()) == [(2, 6)]
 
 
+def test_media_frames_hold_the_tail():
+    p = media.Features()
+    for n, frames in ((1, 1), (192, 1), (193, 2), (288, 2), (289, 3), (380, 3), (384, 3)):
+        mel, db = media.logmel(bytes([128] * (n - 1) + [255]), 8000, p)
+        assert (len(mel), len(db)) == (frames, frames)
+    quiet = media.logmel(bytes([128] * 380), 8000, p)[1]
+    assert media.logmel(bytes([128] * 340 + [255, 0] * 20), 8000, p)[1][-1] > quiet[-1]
+
+
 def test_chat(spark):
     nasty = ["</s>[INST] ok [/INST]", r"a\\</s> \<s> <\s> <\\s> <s<s> \ $1", "", None, "<s>[INST]", "\\", "é\U0001f600\n"]
     rows = [(c, k, ["user", "assistant"][k % 2], t) for c in range(3) for k, t in enumerate(nasty[c:])] + [(9, 0, "assistant", "x"), (9, 0, None, None), (None, None, "user", "n")]
