@@ -1,12 +1,14 @@
 """N-gram Jaccard self-join by a token-group matrix.
 
-A document's set holds the 64-bit hashes of its distinct shingles. Equal sets collapse first. Then
+A document's set holds the 64-bit hashes of its distinct shingles (two of a compared pair of sets of n and m shingles collide with a chance of
+n m / 2^64). Equal sets collapse first. Then
 
 1. similar sets are partitioned into groups: each set is compared with the leaders of a few min-hash classes, what is similar enough is
    connected, and the components, cut into tiles of bounded size, are the groups;
 2. the matrix says which token stands in which group. Tokens are ordered by frequency (the rare ones first), and for a set of n tokens
    only the first n - ceil(t n) + l are entered, l = n // 10 + 1: two sets of similarity t or more share l of these at least. Shared tokens
-   of two groups are counted from it, and pairs of groups below that bound are never opened;
+   of two groups are counted from it, and pairs of groups below that bound are never opened. Before pairs are made, groups that have too few
+   tokens in common with all others together go, and pairs are only made between neighbouring bands of sizes;
 3. an opened group is loaded once. The sets of the other group are its queries: if a query's overlap with the group's token union is below
    ceil(t n), the group can't hold a partner; else its members are compared exactly.
 
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -231,6 +233,26 @@ def prefixes(texts: DataFrame, hot: list[int], *, size: int, percent: int) -> Da
     return texts.select(*keep, "text").mapInArrow(run, f"{fields}, least int, tokens array<long>")
 
 
+def size_band(n: Column, percent: int) -> Column:
+    """Sets that are similar enough lie in one band of sizes or in neighbouring ones."""
+    return F.floor(F.log(n) / F.log(F.lit(100 / percent)) - 1e-9).cast("int")
+
+
+def with_enough(shared: DataFrame, percent: int) -> DataFrame:
+    """The rows of `shared` (token, grp, band, part, least) that can matter, by counts alone, before any pair is made.
+
+    A pair of similar sets shares as many entered tokens as the lesser `least` of the two says, and all of them are in this table. A set's
+    partners have `percent` of its tokens at least, so that their `least` is percent * (least - 1) / 100 + 1 or more: a group that has fewer tokens
+    in the table has no partner. Tokens that then are left to one part go as well. What only has a common passage or line goes here.
+    """
+    fewest = F.floor((F.min("least") - 1) * percent / 100) + 1
+    enough = shared.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("c"), fewest.alias("l")).where("c >= l").select("grp", "band")
+    rows = shared.join(enough, ["grp", "band"], "left_semi")
+    # A token's bands and parts, by aggregation: a hot token's rows are summed up before they meet.
+    several = rows.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("z")).where("a <> z").select("token")
+    return rows.join(several, "token", "left_semi")
+
+
 def jaccard_components(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, classes: int = 4, hot_tokens: int = 50_000, tile: int = 256) -> DataFrame:
     """Per row of docs: doc_id, n_shingles long, component_id long (the smallest id that is reachable by links, its own included)."""
     table = set_table(docs, doc=doc, text=text, size=size, classes=classes)
@@ -261,14 +283,17 @@ def jaccard_components(docs: DataFrame, *, doc: str = "doc_id", text: str = "tex
     grouped = written(tiled.join(named, ["home", "joined", "band", "tile"]).select("sid", "node", "grp", F.when(F.col("joined"), F.col("home")).otherwise(F.col("grp")).alias("part"), "joined"), "groups")
 
     # 2. The matrix of tokens and groups. Groups of one part are connected and not compared.
-    member = texts.select("sid", "text").join(grouped, "sid", "left").select(F.coalesce("part", "sid").alias("part"), F.coalesce("grp", "sid").alias("grp"), "text")
-    matrix = prefixes(member, hot, size=size, percent=percent).select("part", "grp", "least", F.explode("tokens").alias("token"))
-    by_token = matrix.groupBy("token", "grp").agg(F.first("part").alias("part"), F.min("least").alias("least"))
+    member = texts.select("sid", "n", "text").join(grouped, "sid", "left").select(F.coalesce("part", "sid").alias("part"), F.coalesce("grp", "sid").alias("grp"), size_band(F.col("n"), percent).alias("band"), "text")
+    matrix = prefixes(member, hot, size=size, percent=percent).select("part", "grp", "band", "least", F.explode("tokens").alias("token"))
+    by_token = matrix.groupBy("token", "grp", "band").agg(F.first("part").alias("part"), F.min("least").alias("least"))
     w = W.partitionBy("token")
-    shared = by_token.withColumn("a", F.min("part").over(w)).withColumn("z", F.max("part").over(w)).where("a <> z").select("token", "grp", "part", "least")
-    shared = written(shared, "matrix")
-    other = shared.select("token", *[F.col(c).alias(f"{c}2") for c in ("grp", "part", "least")])
-    open_ = shared.join(other, "token").where("grp < grp2 and part <> part2").groupBy("grp", "grp2").agg(F.count(F.lit(1)).alias("overlap"), F.min(F.least("least", "least2")).alias("bound")).where("overlap >= bound")
+    shared = by_token.withColumn("a", F.min("part").over(w)).withColumn("z", F.max("part").over(w)).where("a <> z").select("token", "grp", "band", "part", "least")
+    for k in (1, 2):
+        shared = written(with_enough(shared, percent), f"matrix-{k}")
+    other = shared.select("token", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("band").alias("band2"), *[F.col(c).alias(f"{c}2") for c in ("grp", "part", "least")])
+    met = shared.join(other, ["token", "band"]).where("(band < band2 or grp < grp2) and part <> part2")
+    pair = met.select("token", F.least("grp", "grp2").alias("grp"), F.greatest("grp", "grp2").alias("grp2"), F.least("least", "least2").alias("least"))
+    open_ = pair.groupBy("grp", "grp2").agg(F.count(F.lit(1)).alias("overlap"), F.min("least").alias("bound")).where("overlap >= bound")
     itself = grouped.where("not joined").groupBy("grp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("grp", F.col("grp").alias("grp2"))
     open_ = written(open_.select("grp", "grp2").unionByName(itself), "opened")
 
