@@ -329,7 +329,8 @@ def drop_repeats(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", ke
         some = texts.join(before, "name", "left" if level == "low" else "inner")
         decided.append(decide(name_classes(some.select("name", "doc", "text", "spans"), level), level))
     spans = decided[0].unionByName(decided[1]).unionByName(decided[2]).where("spans is not null").groupBy("name").agg(_joined("spans"))
-    first = texts.select("name", F.col("doc").alias("first_doc")).join(spans, "name", "left")
+    # Written without buckets: then both sides of the last join are dealt by it, and Spark can split a text that a third of all rows have.
+    first = written(texts.select("name", F.col("doc").alias("first_doc")).join(spans, "name", "left"), "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
