@@ -1,10 +1,16 @@
-"""URL functions and the choice of a template, as native expressions."""
+"""URL functions and the choice of a template: native expressions, but for what needs an address read in full."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pageloom.functions.scalars import strip
+from pageloom.functions.weburl import Url, try_parse
+
 # Fixed values: (template, pattern of the URLs it handles), in registration order.
 TEMPLATES = [
     ("shopify-product", r"/products/[^/?#]+"),
@@ -43,20 +49,31 @@ def retired(url: Column) -> Column:
 
 def safe_href(url: Column) -> Column:
     """Control characters and outer space dropped; null if nothing is left or the scheme isn't http or https."""
-    clean = F.trim(F.regexp_replace(url, r"[\x00-\x1f\x7f]", ""))
+    clean = strip(F.regexp_replace(url, r"[\x00-\x1f\x7f]", ""))
     return F.when((clean != "") & (~clean.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:") | clean.rlike(r"^(?i)https?://")), clean)
 
 
+def _addresses(f: Callable[[Url], str]) -> Callable[[Column, Column], Column]:
+    def run(url: pd.Series, base: pd.Series) -> pd.Series:
+        read = (try_parse(u, try_parse(b)) for u, b in zip(url, base, strict=True))
+        return pd.Series([None if u is None else f(u) for u in read], dtype=object)
+
+    return lambda url, base: F.pandas_udf(run, "string")(url, base)
+
+
+def absolute_url(url: Column, base: Column) -> Column:
+    """The address against a base (null for none), null if it is none."""
+    return _addresses(lambda u: u.href)(url, base)
+
+
 def dedupe_key(url: Column) -> Column:
-    """The URL without its fragment and without one slash at the end of a path that isn't the root."""
-    return F.regexp_replace(F.regexp_replace(url, "#.*$", ""), r"^([a-z][a-z0-9+.-]*://[^/?]*/[^?]*[^?])/(\?.*)?$", "$1$2")
+    """The address in its normal form, without its fragment and without one slash at the end of a path that isn't the root; null if it is none."""
+    key = lambda u: u._replace(path=u.path.removesuffix("/") if len(u.path) > 1 else u.path, fragment=None).href
+    return _addresses(key)(url, F.lit(None).cast("string"))
 
 
 def npm_repository_url(value: Column) -> Column:
-    v = F.regexp_replace(F.regexp_replace(F.trim(value), r"^git\+", ""), r"\.git$", "")
-    return (
-        F.when(F.coalesce(v, F.lit("")) == "", None)
-        .when(v.rlike(r"^[\w.-]+/[\w.-]+$"), F.concat(F.lit("https://github.com/"), v))
-        .when(v.rlike(r"^git@[^:]+:"), F.regexp_replace(v, r"^git@([^:]+):", "https://$1/"))
-        .otherwise(F.regexp_replace(v, r"^(?:git|ssh)://(?:git@)?", "https://"))
-    )
+    """A repository as an address: shorthands are read as GitHub's, other protocols as https."""
+    v = F.regexp_replace(F.regexp_replace(F.nullif(value, F.lit("")), r"^git\+", ""), r"\.git$", "")
+    https = F.regexp_replace(F.regexp_replace(v, r"^git@([^:]+):", "https://$1/"), r"^(?:git|ssh)://(?:git@)?", "https://")
+    return F.when(v.rlike(r"^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$"), F.concat(F.lit("https://github.com/"), v)).otherwise(F.regexp_replace(https, r"^https://git@", "https://"))

@@ -4,232 +4,110 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit, urlunsplit
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Elements that stand on lines of their own.
+from pageloom.functions import weburl
+from pageloom.operators.markup import Builder, Node, collapse, parse, strip
+
+# Elements that stand on lines of their own; schemes besides http and https whose links are kept.
 BLOCKS = frozenset("p div li tr h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl dt dd section article header footer main nav aside figure figcaption form fieldset caption".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HEAD_ONLY = frozenset("base link meta title style script noscript template".split())
-#: An opening tag closes these when they are open, up to the nearest of the second set.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "a": ({"a"}, {"td", "th", "table", "div"})}
-CLOSES_P = BLOCKS - {"tr", "caption"} | {"hr", "menu", "address", "details"}
-SPACE = re.compile(r"\s+")
-
-
-class Node:
-    __slots__ = ("attrs", "children", "name", "parent")
-
-    def __init__(self, name: str, attrs: dict[str, str] | None = None, parent: Node | None = None) -> None:
-        self.name, self.attrs, self.children, self.parent = name, attrs or {}, [], parent
-
-    def walk(self):  # noqa: ANN201
-        stack = list(reversed(self.children))
-        while stack:
-            x = stack.pop()
-            if isinstance(x, Node):
-                yield x
-                stack.extend(reversed(x.children))
-
-    def text(self) -> str:
-        out, stack = [], [self]
-        while stack:
-            x = stack.pop()
-            if isinstance(x, str):
-                out.append(x)
-            elif x.name != "#comment":
-                stack.extend(reversed(x.children))
-        return "".join(out)
-
-
-class Builder(HTMLParser):
-    """A tree with html, head and body always there, implied ends of p, li, td and the like."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = Node("#document")
-        self.html = self._add(self.root, "html")
-        self.head = self._add(self.html, "head")
-        self.body: Node | None = None
-        self.at = self.head
-
-    @staticmethod
-    def _add(parent: Node, name: str, attrs: dict[str, str] | None = None) -> Node:
-        node = Node(name, attrs, parent)
-        parent.children.append(node)
-        return node
-
-    def _in_body(self) -> None:
-        if self.body is None:
-            self.body = self.at = self._add(self.html, "body")
-
-    def _close(self, names: set[str], until: set[str]) -> None:
-        node = self.at
-        while node.parent is not None and node.name not in until:
-            if node.name in names and node not in (self.html, self.head, self.body):
-                self.at = node.parent
-                node = self.at
-                continue
-            node = node.parent
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        values = {}
-        for k, v in attrs:
-            values.setdefault(k, v or "")
-        if tag in ("html", "body", "head"):
-            if tag == "body":
-                self._in_body()
-            target = {"html": self.html, "head": self.head, "body": self.body}[tag]
-            for k, v in values.items():
-                target.attrs.setdefault(k, v)
-            return
-        if self.body is None and tag not in HEAD_ONLY:
-            self._in_body()
-        if tag in CLOSES_P:
-            self._close({"p"}, {"table", "button"})
-        if tag in CLOSES:
-            self._close(*CLOSES[tag])
-        node = self._add(self.at, tag, values)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in ("html", "body"):
-            return
-        if tag == "head":
-            self._in_body()
-            return
-        node = self.at
-        while node not in (self.html, self.head, self.body, self.root) and node.name != tag:
-            node = node.parent
-        if node.name == tag and node.parent is not None:
-            self.at = node.parent
-        elif tag == "p":
-            self._in_body()
-            self._add(self.at, "p")
-
-    def handle_data(self, data: str) -> None:
-        if self.body is None and self.at is self.head and data.strip():
-            self._in_body()
-        if self.body is not None or self.at is not self.head:
-            self.at.children.append(data)
-
-    def handle_comment(self, data: str) -> None:
-        self._add(self.at, "#comment")
-
-
-def parse(html: str | None) -> Builder:
-    b = Builder()
-    b.feed(html or "")
-    b.close()
-    b._in_body()
-    return b
+KEPT_SCHEMES = ("mailto", "tel")
+
+
+def _pieces(root: Node) -> Iterator[str | None]:
+    """The texts below root in order; None where a line ends."""
+    stack: list = [(root, False)]
+    while stack:
+        x, link_follows = stack.pop()
+        if x is None or isinstance(x, str):
+            yield x
+            continue
+        if x.name == "br":
+            yield None
+        if x.name in ("br", "#comment", "script", "style"):
+            continue
+        if x is not root:
+            after: list = [(None, False)] if x.name in BLOCKS or (x.name == "a" and link_follows) else []
+            if x.name in ("td", "th"):
+                after.append((" ", False))
+            if x.name in BLOCKS:
+                yield None
+            stack.extend(after)
+        follows = False
+        for c in reversed(x.children):
+            stack.append((c, follows))
+            if isinstance(c, str):
+                follows = False
+            elif c.name != "#comment":
+                follows = c.name == "a"
 
 
 def page_text(root: Node) -> str:
     """Text by lines: blocks and br break, cells are kept apart, links that touch get lines of their own. Scripts and styles are left out."""
-    mark, out = "\ue000", []
-
-    def next_is_link(node: Node) -> bool:
-        after = iter(node.parent.children)
-        for x in after:
-            if x is node:
-                break
-        for x in after:
-            if isinstance(x, Node) and x.name == "#comment":
-                continue
-            return isinstance(x, Node) and x.name == "a"
-        return False
-
-    stack: list = [root]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif x.name == "br":
-            out.append(mark)
-        elif x.name not in ("script", "style", "#comment"):
-            tail = []
-            if x is not root:
-                if x.name in BLOCKS:
-                    out.append(mark)
-                    tail.append(mark)
-                if x.name in ("td", "th"):
-                    tail.append(" ")
-                if x.name == "a" and next_is_link(x):
-                    tail.append(mark)
-            stack.extend(tail)
-            stack.extend(reversed(x.children))
-    return re.sub(f" ?(?:{mark} ?)+", "\n", SPACE.sub(" ", "".join(out))).strip()
-
-
-def dedupe_url(url: str) -> str:
-    u = urlsplit(url)
-    path = u.path[:-1] if len(u.path) > 1 and u.path.endswith("/") else u.path
-    return urlunsplit((u.scheme, u.netloc, path, u.query, ""))
-
-
-def _resolved(raw: str, base: str | None) -> str | None:
-    clean = re.sub(r"[\t\n\r]", "", raw)
-    try:
-        url = urljoin(base, clean) if base else clean
-        u = urlsplit(url)
-        if not u.scheme or (u.scheme in ("http", "https") and not u.hostname):
-            return None
-        u.port  # noqa: B018  a bad port raises
-    except ValueError:
-        return None
-    if u.scheme in ("http", "https"):
-        netloc = u.hostname + (f":{u.port}" if u.port and u.port != {"http": 80, "https": 443}[u.scheme] else "")
-        return urlunsplit((u.scheme, netloc, u.path or "/", u.query, u.fragment))
-    return url
-
-
-def links(b: Builder, page_url: str | None, *, include_anchors: bool = False, dedupe: bool = True) -> list[dict]:
-    page = page_url if page_url and _resolved(page_url, None) else None
-    base_href = next((n.attrs["href"] for n in b.root.walk() if n.name == "base" and n.attrs.get("href")), None)
-    base = (_resolved(base_href, page) if base_href else None) or page
-    host = urlsplit(page or base or "").hostname
-    seen, out = set(), []
+    lines, line = [], []
+    for piece in _pieces(root):
+        if piece is not None:
+            line.append(piece)
+        elif line:
+            lines.append(collapse("".join(line)))
+            line = []
+    lines.append(collapse("".join(line)))
+    return "\n".join(filter(None, lines))
+
+
+def base_of(b: Builder, page_url: str | None, base_url: str | None = None) -> tuple[weburl.Url | None, weburl.Url | None]:
+    """(page, base): a base that is given goes before the page's own base element, that before the page's address."""
+    page, given = weburl.try_parse(page_url), weburl.try_parse(base_url)
+    tag = next((n.attrs["href"] for n in b.root.walk() if n.name == "base" and "href" in n.attrs), None)
+    return page, given or (weburl.try_parse(tag, page) if tag else None) or page
+
+
+_CONTROL = re.compile(r"[\x00-\x1f\x7f]")
+
+
+def _kinds(raw: str, base: weburl.Url | None, host: str | None) -> tuple[str, str | None, str | None, str | None, str] | None:
+    """(type, href, domain, original_href, key of equal links) of a link as it is written, None if it leads nowhere."""
+    if raw.startswith("#"):
+        return "anchor", raw, None, raw, f"# {raw}"
+    url = weburl.try_parse(raw, base)
+    if url is None:
+        return None if base or re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:", raw) else ("relative", raw, None, raw, f"/ {raw}")
+    if url.scheme not in ("http", "https"):
+        kept = url.scheme in KEPT_SCHEMES
+        return "other", url.href if kept else None, None, raw if kept else None, f": {url.href}"
+    path = url.path.removesuffix("/") if len(url.path) > 1 else url.path
+    return "internal" if url.host == host else "external", url.href, url.host, strip(_CONTROL.sub("", raw)) or None, url._replace(path=path, fragment=None).href
+
+
+def links(b: Builder, page_url: str | None, *, base_url: str | None = None, include_anchors: bool = False, dedupe: bool = True) -> list[dict]:
+    page, base = base_of(b, page_url, base_url)
+    host = (page or base).host if page or base else None
+    found: dict = {}
     for n in b.root.walk():
-        raw = n.attrs.get("href", "").strip() if n.name == "a" else ""
-        if not raw or (raw.startswith("#") and not include_anchors):
+        raw = strip(n.attrs.get("href", "")) if n.name == "a" else ""
+        if not raw or (raw[0] == "#" and not include_anchors) or (kind := _kinds(raw, base, host)) is None:
             continue
-        r = {"href": raw, "text": SPACE.sub(" ", n.text()).strip(), "type": "anchor", "domain": None, "rel": n.attrs.get("rel", "").strip() or None, "original_href": raw, "title": n.attrs.get("title", "").strip() or None}
-        key = f"anchor:{raw}"
-        if not raw.startswith("#"):
-            url = _resolved(raw, base)
-            if url is None:
-                if base or re.match(r"[a-z][a-z0-9+.-]*:", raw, re.I):
-                    continue
-                r["type"], key = "relative", f"relative:{raw}"
-            elif urlsplit(url).scheme in ("http", "https"):
-                domain = urlsplit(url).hostname
-                r |= {"href": url, "type": "internal" if domain == host else "external", "domain": domain, "original_href": re.sub(r"[\x00-\x1f\x7f]", "", raw).strip() or None}
-                key = dedupe_url(url)
-            else:
-                kept = urlsplit(url).scheme in ("mailto", "tel")
-                r |= {"href": url if kept else None, "type": "other", "original_href": raw if kept else None}
-                key = f"other:{url}"
-        if dedupe and key in seen:
-            continue
-        seen.add(key)
-        out.append(r)
-    return out
+        name, href, domain, original, key = kind
+        said = {k: strip(n.attrs.get(k, "")) or None for k in ("rel", "title")}
+        found.setdefault(key if dedupe else len(found), {"href": href, "text": collapse(n.text()), "type": name, "domain": domain, "rel": said["rel"], "original_href": original, "title": said["title"]})
+    return list(found.values())
 
 
-def signature(b: Builder) -> tuple[list[str], dict[int, int]]:
-    """Sorted distinct tags and how many elements stand at each depth (html is at 1)."""
-    tags, depths, stack = set(), Counter(), [(b.html, 1)]
+def signature(b: Builder, root: Node | None = None) -> tuple[list[str], dict[int, int]]:
+    """Sorted distinct tags and how many elements stand at each depth (html is at 1), of the page or of what is below root."""
+    tags, depths = set(), Counter()
+    stack = [(root, sum(1 for _ in root.up()))] if root else [(b.root, 0)]
+    top = stack[0][0]
     while stack:
         n, d = stack.pop()
-        tags.add(n.name)
-        depths[d] += 1
-        stack.extend((c, d + 1) for c in n.children if isinstance(c, Node) and c.name != "#comment")
+        if n is not top:
+            tags.add(n.name)
+            depths[d] += 1
+        stack.extend((c, d + 1) for c in n.elements())
     return sorted(tags), dict(depths)
 
 
@@ -237,31 +115,41 @@ LINK = "struct<href: string, text: string, type: string, domain: string, rel: st
 PROJECTIONS = f"struct<title: string, text: string, links: array<{LINK}>, tags: array<string>, depths: map<int,int>>"
 
 
-def projections(html: Column | str, url: Column | str) -> Column:
-    """struct<title, text, links, tags, depths> of each page. Null html is an empty page, a null URL no base."""
-    return F.pandas_udf(_projections, PROJECTIONS)(html, url)
+def projections(html: Column | str, url: Column | str, *, base_url: str | None = None, include_anchors: bool = False, dedupe: bool = True, root: str | None = None) -> Column:
+    """struct<title, text, links, tags, depths> of each page. Null html is an empty page, a null URL no base. root: a selector, the structure then is that of what is below its first element.
 
+    It counts as nondeterministic, which it isn't, so that the optimizer never copies it: a page is parsed once.
+    """
 
-def _projections(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-    rows = []
-    for h, u in zip(html, url, strict=True):
-        b = parse(h)
-        tags, depths = signature(b)
-        title = next((SPACE.sub(" ", n.text()).strip() for n in b.root.walk() if n.name == "title"), "")
-        rows.append((title, page_text(b.body), links(b, u), tags, depths))
-    return pd.DataFrame(rows, columns=["title", "text", "links", "tags", "depths"])
+    def run(html: pd.Series, url: pd.Series) -> pd.DataFrame:
+        rows = []
+        for h, u in zip(html, url, strict=True):
+            b = parse(h)
+            scope = b.root.one(root) if root else None
+            tags, depths = signature(b, scope) if scope or not root else ([], {})
+            title = next((collapse(n.text()) for n in b.root.walk() if n.name == "title"), "")
+            rows.append((title, page_text(b.body), links(b, u, base_url=base_url, include_anchors=include_anchors, dedupe=dedupe), tags, depths))
+        return pd.DataFrame(rows, columns=["title", "text", "links", "tags", "depths"])
 
+    return F.pandas_udf(run, PROJECTIONS).asNondeterministic()(html, url)
 
-def similarity(tags_a: Column, depths_a: Column, tags_b: Column, depths_b: Column) -> Column:
-    """Mean of the Jaccard index of the tags and the weighted one of the depths, 0 to 1; null counts as unlike."""
+
+def tag_similarity(tags_a: Column, tags_b: Column) -> Column:
     a, b = F.array_distinct(tags_a), F.array_distinct(tags_b)
-    tag = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+
+
+def depth_similarity(depths_a: Column, depths_b: Column) -> Column:
     both = F.map_values(F.map_zip_with(depths_a, depths_b, lambda k, x, y: F.struct(F.coalesce(x, F.lit(0)).alias("x"), F.coalesce(y, F.lit(0)).alias("y"))))
     total = lambda f: F.aggregate(both, F.lit(0), lambda s, v: s + f(v["x"], v["y"]))
-    depth = F.when(F.size(both) == 0, F.lit(1.0)).otherwise(total(F.least) / total(F.greatest))
+    return F.when(depths_a.isNull() | depths_b.isNull(), F.lit(0.0)).when(F.size(both) == 0, F.lit(1.0)).otherwise(total(F.least) / total(F.greatest))
+
+
+def similarity(tags_a: Column, depths_a: Column, tags_b: Column, depths_b: Column) -> Column:
+    """Mean of the Jaccard index of the tags and the weighted one of the depths, 0 to 1; null counts as unlike."""
     return (
         F.when(tags_a.isNull() | tags_b.isNull(), F.lit(0.0))
-        .when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0))
-        .when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0))
-        .otherwise((tag + F.coalesce(depth, F.lit(0.0))) / 2)
+        .when((F.size(tags_a) == 0) & (F.size(tags_b) == 0), F.lit(1.0))
+        .when((F.size(tags_a) == 0) | (F.size(tags_b) == 0), F.lit(0.0))
+        .otherwise((tag_similarity(tags_a, tags_b) + depth_similarity(depths_a, depths_b)) / 2)
     )

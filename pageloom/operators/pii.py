@@ -7,13 +7,17 @@ dropped. A native guard hands a worker only texts that can hold a match.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ENTITIES = ("EMAIL", "PHONE", "FINANCIAL", "SECRET")
+from pageloom.operators.markup import WS
+
+#: What patterns find, what only a model could, and how it is replaced unless said otherwise.
+ENTITIES, MODEL_ONLY_ENTITIES, DEFAULT_REPLACE_STYLE = ("EMAIL", "PHONE", "FINANCIAL", "SECRET"), ("PERSON", "LOCATION"), "tag"
 RESULT = "struct<text: string, entities: map<string,int>, count: int>"
 
 # What counts as a match.
@@ -47,7 +51,7 @@ def is_e164(candidate: str) -> bool:
 
 
 _RULES = (
-    [("SECRET", re.compile(p, re.A | re.I), None) for p in SECRET]
+    [("SECRET", re.compile(p.replace(r"\S", f"[^{WS}]").replace(r"\s", f"[{WS}]"), re.A | re.I), None) for p in SECRET]
     + [("EMAIL", re.compile(EMAIL, re.A), None), ("FINANCIAL", re.compile(CARD, re.A), passes_luhn), ("FINANCIAL", re.compile(IBAN, re.A), passes_mod97)]
     + [("PHONE", re.compile(p, re.A), is_e164 if i < 2 else None) for i, p in enumerate(PHONE)]
 )
@@ -60,15 +64,17 @@ def wanted(entities: Iterable[str] | None) -> frozenset[str]:
 
 
 def spans(text: str, classes: frozenset[str]) -> list[tuple[int, int, str]]:
-    """Claimed (start, end, class), by start."""
+    """Claimed (start, end, class), by start. Claims never overlap, so that a candidate meets its two neighbours only."""
     claimed: list[tuple[int, int, str]] = []
     for name, pattern, check in _RULES:
         if name in classes:
             for m in pattern.finditer(text):
                 start, end = m.end(1) if name == "SECRET" else m.start(), m.end()
-                if start < end and (check is None or check(m[0])) and not any(a < end and start < b for a, b, _ in claimed):
-                    claimed.append((start, end, name))
-    return sorted(claimed)
+                if start < end and (check is None or check(m[0])):
+                    at = bisect_left(claimed, (start,))
+                    if (at == 0 or claimed[at - 1][1] <= start) and (at == len(claimed) or claimed[at][0] >= end):
+                        claimed.insert(at, (start, end, name))
+    return claimed
 
 
 def redact(text: str | None, classes: frozenset[str], style: str = "tag") -> dict:

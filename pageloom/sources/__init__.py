@@ -1 +1 @@
-
+"""Reading bodies: bytes to text, size limits, request addresses."""

@@ -1 +1 @@
-
+"""The document operators over streams."""
