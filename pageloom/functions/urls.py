@@ -68,7 +68,7 @@ def absolute_url(url: Column, base: Column) -> Column:
 
 def dedupe_key(url: Column) -> Column:
     """The address in its normal form, without its fragment and without one slash at the end of a path that isn't the root; null if it is none."""
-    key = lambda u: u._replace(path=u.path.removesuffix("/") if len(u.path) > 1 else u.path, fragment=None).href
+    key = lambda u: u._replace(path=u.path.removesuffix("/") if len(u.path) > 1 and u.host is not None else u.path, fragment=None).href
     return _addresses(key)(url, F.lit(None).cast("string"))
 
 

@@ -153,7 +153,7 @@ def rank_units(units: Column, query: str, *, max_units: float = 10, min_score: f
     def stats(d: Column) -> Column:
         n = F.size(d).cast("double")
         df = F.aggregate(d, zero, lambda s, x: F.zip_with(s, x["own"], lambda a, b: a + F.when(b > 0, 1.0).otherwise(0.0)))
-        mean = F.aggregate(d, F.lit(0.0), lambda s, x: s + x["length"]) / n
+        mean = F.aggregate(d, F.lit(0.0), lambda s, x: s + x["length"]) / F.nullif(n, F.lit(0.0))
         return F.struct(d.alias("docs"), mean.alias("mean"), F.transform(df, lambda x: F.log(1 + (n - x + 0.5) / (x + 0.5))).alias("idf"))
 
     def scored(x: Column, corpus: Column) -> Column:

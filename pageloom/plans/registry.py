@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import urls, verdict
 from pageloom.operators import dom, pii
-from pageloom.plans import cases
+from pageloom.plans import cases, record_queries
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,7 +137,7 @@ SQL: dict[str, str] = {
     "url1_hrefs": r"""WITH r AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN ' java' || chr(9) || 'script:' || url WHEN 1 THEN url || '/' ELSE url END AS raw FROM pages),
 c AS (SELECT *, trim(regexp_replace(raw, '[\x00-\x1f\x7f]', '', 'g')) AS v FROM r)
 SELECT page_id, CASE WHEN v <> '' AND (NOT regexp_matches(v, '^[a-zA-Z][a-zA-Z0-9+.-]*:') OR regexp_matches(v, '^(?i)https?://')) THEN v END AS href,
-CASE page_id % 4 WHEN 0 THEN 'javascript:' || regexp_extract(raw, 'script:(.*)$', 1) ELSE regexp_replace(raw, '^([a-z][a-z0-9+.-]*://[^/?]*/[^?]*[^?])/(\?.*)?$', '\1\2') END AS key FROM c""",
+CASE page_id % 4 WHEN 0 THEN 'javascript:' || regexp_extract(raw, 'script:([^#]*)', 1) ELSE regexp_replace(regexp_replace(raw, '#.*$', ''), '^([a-z][a-z0-9+.-]*://[^/?]*/[^?]*[^?])/(\?.*)?$', '\1\2') END AS key FROM c""",
 }
-QUERIES |= cases.QUERIES
-SQL |= cases.SQL
+QUERIES |= cases.QUERIES | record_queries.QUERIES
+SQL |= cases.SQL | record_queries.SQL
