@@ -93,6 +93,10 @@ def _mel(p: Features, rate: float) -> np.ndarray:
     return np.maximum(0, np.minimum((f - edges[:-2]) / (edges[1:-1] - edges[:-2]), (edges[2:] - f) / (edges[2:] - edges[1:-1]))).astype(np.float32)
 
 
+#: Frames whose spectra are held at once.
+CHUNK = 8192
+
+
 def resample(x: np.ndarray, p: Features) -> np.ndarray:
     blocks = -(-len(x) // p.down)
     padded = np.zeros(blocks * p.down + p.taps, np.float32)
@@ -116,10 +120,13 @@ def logmel(samples: bytes, rate: int, p: Features) -> tuple[np.ndarray, np.ndarr
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
     y = resample(x, p)
     y = np.pad(y, (0, p.window - len(y) if len(y) < p.window else (p.window - len(y)) % p.hop))
-    frames = np.lib.stride_tricks.sliding_window_view(y, p.window)[:: p.hop] * np.hanning(p.window).astype(np.float32)
-    power = np.abs(np.fft.rfft(frames, p.fft)) ** 2
-    mel = power.astype(np.float32) @ _mel(p, rate * p.up / p.down)
-    return np.log(mel + np.float32(p.floor)).astype(np.float16), 10 * np.log10(power.sum(axis=1) + p.floor)
+    frames, shape, bank = np.lib.stride_tricks.sliding_window_view(y, p.window)[:: p.hop], np.hanning(p.window).astype(np.float32), _mel(p, rate * p.up / p.down)
+    mel, db = np.empty((len(frames), p.mels), np.float16), np.empty(len(frames))
+    for k in range(0, len(frames), CHUNK):  # the spectra of a long text are never held all at once
+        power = np.abs(np.fft.rfft(frames[k : k + CHUNK] * shape, p.fft)) ** 2
+        mel[k : k + CHUNK] = np.log(power.astype(np.float32) @ bank + np.float32(p.floor))
+        db[k : k + CHUNK] = 10 * np.log10(power.sum(axis=1) + p.floor)
+    return mel, db
 
 
 def tensor_stream(mel: np.ndarray, rate: int, p: Features) -> bytes:

@@ -87,7 +87,8 @@ def with_roles(pages: DataFrame, *, rid: str = "page_id", url: str = "url", body
     long = F.octet_length("payload") >= least
     first = rows.where(long).groupBy("digest").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
     first = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.when(long, F.pmod(F.xxhash64("rid"), F.lit(salts)).cast("int")))
+    # Short payloads have no first; many are equal (empty), and a salt below 0 deals them out.
+    salted = rows.withColumn("salt", F.when(long, F.pmod(F.xxhash64("rid"), F.lit(salts))).otherwise(-1 - F.pmod(F.xxhash64("rid"), F.lit(1 << 20))).cast("int"))
     out = salted.join(first, ["digest", "salt"], "left")
     return out.select("rid", "url", "payload", "digest", F.when(F.col("rid").isNull() | (F.col("first") < F.col("rid")), F.col("first")).alias("refers_to"))
 
