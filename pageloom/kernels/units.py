@@ -20,7 +20,6 @@ MIN_CHARS = 2
 
 _S = f"[{WS}]"
 _END = re.compile(rf"""(?P<cjk>[{CJK_ENDS}])|(?P<stop>[.!?]+[{re.escape(CLOSERS)}]*)(?P<cite>(?:\[\\\[[^\]\n]{{1,40}}\\\]\]\(\#[^)\s]*\))*)""".replace(r"\#", "#"))
-_WORD = re.compile(f"[^{WS}]*$")
 _FENCE = re.compile(r"`{3,}|~{3,}")
 _HEADING = re.compile(rf"#{{1,6}}(?:{_S}+(.*?))?{_S}*#*{_S}*$")
 _DELIMITER = re.compile(rf"\|?(?:{_S}|[:|-])*-(?:{_S}|[:|-])*\|?$")
@@ -54,8 +53,12 @@ def sentences(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
             continue
         if at < end and text[at] not in _SPACES:
             continue
-        if text[m.start()] == "." and not m["cite"] and false_stop(_WORD.search(text[begin : m.start()])[0]):
-            continue
+        if text[m.start()] == "." and not m["cite"]:
+            word = m.start()
+            while word > begin and text[word - 1] not in _SPACES:
+                word -= 1
+            if false_stop(text[word : m.start()]):
+                continue
         yield begin, at
         begin = at
     if begin < end:
@@ -114,7 +117,7 @@ def segment(text: str | None) -> list[dict]:
         for s, e in sentences(text, start, end) if kind == "paragraph" else [(start, end)]:
             s, e = _trim(text, s, e)
             body = text[s:e]
-            if sum(c not in _SPACES for c in body[: MIN_CHARS * 64]) < MIN_CHARS and sum(c not in _SPACES for c in body) < MIN_CHARS:
+            if len(body) < MIN_CHARS:  # it is trimmed: its first and its last character are no space
                 continue
             place += units16(text[known:s])
             known = s
