@@ -5,12 +5,14 @@ metadata view sees what a crawl records about a page without reading it: languag
 character classes. Each view is a ridge logistic regression fitted by Newton steps; a step is one pass in which the tasks add up gradient and
 curvature, so that labelled and pseudo-labelled rows of all partitions count and the driver gets d (d + 1) / 2 + d sums per view.
 
-Rounds: each view is calibrated on the labelled rows (Platt scaling of a score histogram); unlabelled documents of which one view is
-confident teach the other view in the next fit. At the end the calibrated views are combined by a logistic regression on their two
-logits, and all documents are scored.
+Rounds: each view is calibrated (Platt scaling of a score histogram) on a fold of the labelled rows that no fit sees, a fifth of them by the
+hash of the id; unlabelled documents of which one view is confident teach the other view in the next fit. At the end the calibrated views
+are combined by a logistic regression on their two logits, on that fold again, and all documents are scored from their stored views, so
+that a text is read once.
 
 Defined results. A null or empty text has the features of an empty page; null language and source are values of their own. Conflicting labels of
-a document count as the lowest, null labels as none. Without any label every score is 0.5 and every document stays. Repeated rows are scored each
+a document count as the lowest, null labels as none. Without any label every score is 0.5 and every document stays; without one in
+the held fold the scales stay as they begin. Repeated rows are scored each
 for itself; equal rows get equal scores. Extra columns pass by `keep` only. An empty table gives an empty result.
 """
 
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from ._common import strings, written
 
 HASHED, LANGS, SOURCES = 24, 8, 16
+#: One fold of so many holds the labelled rows for calibration.
+FOLDS = 5
 _SIGNS = re.compile(r"[^\w\s.,;:!?'\"()-]")
 
 
@@ -89,38 +93,42 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def features(docs: DataFrame, *, doc: str, text: str, lang: str, source: str) -> DataFrame:
-    """doc_id, t and m: both views as float32 bytes."""
+def features(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), doc: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """doc_id, row (the columns of `keep`), t and m: both views as float32 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, langs, sources = strings(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            texts, langs, sources = strings(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist()
             t = [np.array(text_view(x), "<f4").tobytes() for x in texts]
             m = [np.array(metadata_view(*x), "<f4").tobytes() for x in zip(texts, langs, sources, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t, pa.binary()), pa.array(m, pa.binary())], names=["doc_id", "t", "m"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(t, pa.binary()), pa.array(m, pa.binary())], names=["doc_id", "row", "t", "m"])
 
-    return docs.select(F.col(doc).cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in (text, lang, source)]).mapInArrow(run, "doc_id long, t binary, m binary")
+    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.struct(*keep).alias("row"), *[F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate((text, lang, source))])
+    return rows.mapInArrow(run, f"doc_id long, row {rows.schema['row'].dataType.simpleString()}, t binary, m binary")
 
 
-def _views(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
-    x = [np.frombuffer(b"".join(batch.column(i).to_pylist()), "<f4").reshape(-1, d).astype(np.float64) for i, d in enumerate(D)]
-    return x, np.array([np.nan if v is None else v for v in batch.column(2).to_pylist()], np.float64)
+def _floats(batch: pa.RecordBatch, at: int) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(batch.column(at + v).to_pylist()), "<f4").reshape(-1, d).astype(np.float64) for v, d in enumerate(D)]
+
+
+def _column(batch: pa.RecordBatch, at: int) -> np.ndarray:
+    return np.array([np.nan if v is None else v for v in batch.column(at).to_pylist()], np.float64)
 
 
 def _summed(rows: DataFrame, sums) -> dict[str, np.ndarray]:  # noqa: ANN001
-    """Adds up what sums(views, y) gives for each batch, within tasks and then over them; the size doesn't depend on the rows."""
+    """Adds up what sums(views, y, held) gives for each batch, within tasks and then over them; the size doesn't depend on the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows:
-                for k, v in sums(*_views(batch)).items():
+                for k, v in sums(_floats(batch, 0), _column(batch, 2), _column(batch, 3) > 0).items():
                     total[k] = total[k] + v if k in total else v
         names = [k for k, v in total.items() for _ in range(v.size)]
         at = [i for v in total.values() for i in range(v.size)]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(at, pa.int32()), pa.array(np.concatenate([v.ravel() for v in total.values()]) if total else [], pa.float64())], names=["k", "i", "v"])
 
-    got = rows.select("t", "m", "y").mapInArrow(run, "k string, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
+    got = rows.select("t", "m", "y", F.col("held").cast("int")).mapInArrow(run, "k string, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
     size = Counter(r["k"] for r in got)
     out = {k: np.zeros(n) for k, n in size.items()}
     for r in got:
@@ -132,17 +140,17 @@ BINS = 48
 
 
 def fit(rows: DataFrame, *, rounds: int = 2, first_steps: int = 5, steps: int = 2, ridge: float = 1.0, sure: float = 0.97, pseudo_weight: float = 0.3) -> Model:
-    """A model from stored rows (t, m, y); y is null where there is no label."""
+    """A model from stored rows (t, m, y, held); y is null where there is no label. Labelled rows that are held calibrate, the others are fitted."""
     model = Model()
 
     def newton(teach: bool) -> None:
         now = Model([w.copy() for w in model.weights], list(model.platt), model.mix)
 
-        def sums(views: list[np.ndarray], y: np.ndarray) -> dict[str, np.ndarray]:
+        def sums(views: list[np.ndarray], y: np.ndarray, held: np.ndarray) -> dict[str, np.ndarray]:
             known, out = ~np.isnan(y), {}
             logits = now.logits(views) if teach else None
             for v, x in enumerate(views):
-                target, weight = np.where(known, y, 0.0), known.astype(np.float64)
+                target, weight = np.where(known, y, 0.0), (known & ~held).astype(np.float64)
                 if teach:
                     other = sigmoid(logits[1 - v])
                     confident = ~known & ((other >= sure) | (other <= 1 - sure))
@@ -167,8 +175,8 @@ def fit(rows: DataFrame, *, rounds: int = 2, first_steps: int = 5, steps: int =
         now = Model([w.copy() for w in model.weights])
         edge = np.linspace(-12, 12, BINS + 1)
 
-        def sums(views: list[np.ndarray], y: np.ndarray) -> dict[str, np.ndarray]:
-            known = ~np.isnan(y)
+        def sums(views: list[np.ndarray], y: np.ndarray, held: np.ndarray) -> dict[str, np.ndarray]:
+            known = ~np.isnan(y) & held
             a, b = (np.clip(np.digitize(s[known], edge) - 1, 0, BINS - 1) for s in now.logits(views))
             return {"n": np.bincount(a * BINS + b + (y[known] > 0.5) * BINS * BINS, minlength=2 * BINS * BINS).astype(np.float64)}
 
@@ -206,22 +214,27 @@ def _logistic(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, prior: np.ndarray
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", label: str = "quality", **options: float) -> Model:
+def train(views: DataFrame, labels: DataFrame, *, doc: str = "doc_id", label: str = "quality", **options: float) -> Model:
+    """A model from the stored result of features() and the labels of some of its doc_ids."""
     y = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc).cast("long").alias("doc_id")).agg(F.min(F.col(label).cast("double")).alias("y"))
-    rows = written(features(docs, doc=doc, text=text, lang=lang, source=source).join(y, "doc_id", "left").select("t", "m", "y"), "views")
-    return fit(rows, **options)
+    rows = views.select("doc_id", "t", "m").join(y, "doc_id", "left").select("t", "m", "y", (F.col("y").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)) == 0)).alias("held"))
+    return fit(written(rows, "taught"), **options)
 
 
-def score(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ("doc_id",), text: str = "text", lang: str = "lang", source: str = "source", threshold: float = 0.5) -> DataFrame:
-    """keep, p_text, p_metadata, score double, keep boolean: a map over the documents, nothing is joined."""
+def score(views: DataFrame, model: Model, *, threshold: float = 0.5) -> DataFrame:
+    """The columns that features() kept, p_text, p_metadata, score double, keep boolean: a map over the result of features(), nothing is joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = len(keep)
-            texts, langs, sources = strings(batch.column(k)), batch.column(k + 1).to_pylist(), batch.column(k + 2).to_pylist()
-            views = [np.array([text_view(t) for t in texts], "<f4").astype(np.float64).reshape(-1, D[0]), np.array([metadata_view(*x) for x in zip(texts, langs, sources, strict=True)], "<f4").astype(np.float64).reshape(-1, D[1])]
-            p = [sigmoid(x) for x in model.logits(views)] + [model.score(views)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:k], *(pa.array(x) for x in p), pa.array(p[2] >= threshold)], names=[*keep, "p_text", "p_metadata", "score", "keep"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, *[F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate((text, lang, source))]).mapInArrow(run, f"{fields}, p_text double, p_metadata double, score double, keep boolean")
+            x = _floats(batch, 1)
+            p = [sigmoid(z) for z in model.logits(x)] + [model.score(x)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(z) for z in p), pa.array(p[2] >= threshold)], names=["row", "p_text", "p_metadata", "score", "keep"])
+
+    kind = views.schema["row"].dataType.simpleString()
+    return views.select("row", "t", "m").mapInArrow(run, f"row {kind}, p_text double, p_metadata double, score double, keep boolean").select("row.*", "p_text", "p_metadata", "score", "keep")
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), **columns: str) -> DataFrame:
+    """All documents, scored (see score) by a model that is trained on them and the labels."""
+    views = written(features(docs, keep=keep, **columns), "views")
+    return score(views, train(views, labels))

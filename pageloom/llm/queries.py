@@ -11,7 +11,7 @@ from ._common import table, tune, written
 from .bpe import decode, encode
 from .chat import format_conversations, loss_text, read_turns
 from .warc import merge_index, read_archives, with_roles, write_archives
-from .cotrain import score, train
+from .cotrain import classify
 from .jaccard import jaccard_components
 from .packing import pack, pieces
 from .simhash import NEAR, edited, fingerprints, likeness, radius_links, with_next
@@ -146,8 +146,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
