@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm._common import stage, table, tune, written
-from pageloom.llm.cotrain import score, train
+from pageloom.llm.cotrain import classify
 from pageloom.llm.jaccard import jaccard_components
 from pageloom.llm.packing import pack, pieces
 from pageloom.llm.queries import vocabulary
@@ -24,7 +24,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
     tune(spark)
-    return score(docs, train(docs, table(spark, sf_dir, "labels")), keep=COLUMNS).where("keep").select(*COLUMNS)
+    return classify(docs, table(spark, sf_dir, "labels"), keep=COLUMNS).where("keep").select(*COLUMNS)
 
 
 @stage
@@ -46,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @stage
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words that repeat an earlier document's window of 50 words go; texts without such words stay as they are. Documents left without a word go."""
+    """Words that repeat an earlier document's window of 50 words go; texts without such words stay as they are. Documents of which the last word so goes, go, too; empty and null texts stay."""
     tune(spark)
     out = drop_repeats(docs.select(*COLUMNS), keep=("text", "lang", "source", "n_chars"))
     changed = F.col("n_removed") > 0
