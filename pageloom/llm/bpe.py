@@ -6,8 +6,9 @@ whose outputs don't hinder the sharing of suffixes. The file is broadcast (its s
 each worker maps it into memory, and words that it doesn't hold are merged by the vocabulary's own merges. What a worker has
 resolved stays in a bounded cache.
 
-Texts are cut at the special tokens of the vocabulary first, as the library does by default. Texts with characters beyond ASCII
-and the letters of Latin-1, for which normalisation could matter, go to the library whole: same ids, less speed.
+Texts are cut at the special tokens of the vocabulary first, as the library does by default. Words with characters beyond ASCII
+and the letters of Latin-1, for which normalisation could matter, go to the library as they stand, with the white space before
+them, and are kept in the cache like others. Only texts in which white space beyond ASCII touches other white space go there whole.
 
 Defined results. A null or empty text has no ids; its digests are those of the empty string. Whole texts are encoded, however
 long. Equal texts give equal rows; repeated rows stay; only `keep`, the id and text columns are read. An empty table gives an empty result.
@@ -34,6 +35,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Characters for which lower-casing and splitting need no Unicode tables and NFC changes nothing.
 PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
+#: A word with another character, and the white space before it: no pre-token reaches over its ends.
+BEYOND = re.compile("((?:^|[\t\n\r ])[!-~À-ÖØ-öø-ÿ]*+[^\t\n\r -~À-ÖØ-öø-ÿ][^\t\n\r ]*+)")
+#: White space beyond ASCII (or of the kinds that plain texts don't have) beside white space, which pre-tokens could join.
+SPACES = re.compile(r"\s[^\S\t\n\r ]|[^\S\t\n\r ]\s")
 _L = "a-zA-ZÀ-ÖØ-öø-ÿ"
 #: The pre-tokens of the word vocabulary, on lower-cased plain text.
 WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^\s{_L}0-9]+")
@@ -148,6 +153,7 @@ class Encoder:
         self.ends = ends if ends.any() else None
         special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.special = {t: form([i]) for t, i in special.items()}
+        self.first: Callable[[set], dict] | None = None  # a tier before the cache: the forms of those words that it knows
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def library_ids(self, text: str) -> list[int]:
@@ -162,24 +168,40 @@ class Encoder:
                 return [ids[a:b] for a, b in zip([0, *at], at, strict=False)]
         return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
+    def words_of(self, text: str) -> list | None:
+        """The text's words; those that only the library can take are in a tuple, ("special", w) or ("beyond", w). None where it must take the text whole."""
+        plain = PLAIN.fullmatch(text)
+        if not plain and SPACES.search(text):
+            return None
+        marked = any(t in text for t in self.special)
+        if plain and not marked:
+            return self.split(text)
+        out: list = []
+        for i, part in enumerate(self.cut.split(text) if marked else [text]):
+            if i % 2:
+                out.append(("special", part))
+            elif plain:
+                out += self.split(part)
+            else:
+                for k, run in enumerate(BEYOND.split(part)):
+                    out += [("beyond", run)] if k % 2 else self.split(run)
+        return out
+
     def texts(self, texts: list[str]) -> list[list]:
         """For each text the forms of its words (or of the whole text, where the library encoded it)."""
-        words: list[list[str] | None] = []
-        for text in texts:
-            if not PLAIN.fullmatch(text):
-                words.append(None)
-            elif self.cut and "<|" in text:
-                words.append([w for i, part in enumerate(self.cut.split(text)) for w in ([("", part)] if i % 2 else self.split(part))])
-            else:
-                words.append(self.split(text))
+        words = [self.words_of(text) for text in texts]
         if len(self.cache) > self.cache.held:
             self.cache.clear()
         cache = self.cache
-        new = set().union(*filter(None, words)) - cache.keys()
-        unseen = []
-        for w in new:
+        distinct = set().union(*filter(None, words))
+        found = self.first(distinct) if self.first else {}
+        unseen, beyond = [], []
+        for w in distinct - cache.keys() - found.keys():
             if isinstance(w, tuple):
-                cache[w] = self.special[w[1]]
+                if w[0] == "special":
+                    cache[w] = self.special[w[1]]
+                else:
+                    beyond.append(w)
             elif self.lexicon and (ids := self.lexicon.get(w)) is not None:
                 cache[w] = self.form(ids)
             else:
@@ -188,7 +210,12 @@ class Encoder:
             part = unseen[i : i + 1024]
             for w, ids in zip(part, self.word_ids(part), strict=True):
                 cache[w] = self.form(ids)
-        out = [None if ws is None else list(map(cache.__getitem__, ws)) for ws in words]
+        for i in range(0, len(beyond), 1024):
+            part = beyond[i : i + 1024]
+            for w, e in zip(part, self.library.encode_batch_fast([x for _, x in part], add_special_tokens=False), strict=True):
+                cache[w] = self.form(e.ids)
+        forms = {w: cache[w] for w in distinct - found.keys()} | found if self.first else cache
+        out = [None if ws is None else list(map(forms.__getitem__, ws)) for ws in words]
         return [[self.form(self.library_ids(t))] if o is None else o for o, t in zip(out, texts, strict=True)]
 
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pageloom.llm import bpe, chat, cotrain, jaccard, media, packing, queries, simhash, substring, token_counts, warc
+from pageloom.llm._common import written
 
 P = pytest.importorskip("public_tokenizers")
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
@@ -223,12 +224,13 @@ def test_cotraining(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     held = F.col("doc_id") % 4 == 0
-    model = cotrain.train(docs, labels.where(~held))
-    got = cotrain.score(docs, model).join(labels.where(held), "doc_id").select((F.col("keep") == (F.col("quality") == 1)).alias("ok")).collect()
+    views = written(cotrain.features(docs), "test-views")
+    model = cotrain.train(views, labels.where(~held))
+    got = cotrain.score(views, model).join(labels.where(held), "doc_id").select((F.col("keep") == (F.col("quality") == 1)).alias("ok")).collect()
     assert len(got) > 50 and sum(r.ok for r in got) / len(got) >= 0.95
     odd = spark.createDataFrame([(None, None, None, None), (1, "", "en", "s")], "doc_id long, text string, lang string, source string")
-    none = cotrain.train(odd, labels.limit(0))
-    assert [r.keep for r in cotrain.score(odd, none).collect()] == [True, True]
+    none = cotrain.classify(odd, labels.limit(0), keep=("doc_id", "text")).collect()
+    assert {r.doc_id: r.keep for r in none} == {None: True, 1: True}
 
 
 def test_encoder_gives_the_librarys_ids_for_any_plain_text():
@@ -243,3 +245,25 @@ def test_encoder_gives_the_librarys_ids_for_any_plain_text():
     texts += ["", "<|endoftext|>", "a <|startoftext|>b", "</w> x</w>", "it's ''s '' 'll", "東京 ab"]
     assert [[x for w in words for x in w] for words in encoder.texts(texts)] == [encoder.library_ids(t) for t in texts]
     assert encoder.word_ids([]) == []
+
+
+def test_words_beyond_plain_text_are_cut_where_the_library_cuts():
+    r = random.Random(2)
+    chars = "ab's  \n\t\r.,7é’“東京\u00a0\u3000\u200b\u0301İΣς\U0001f600\x85\x1c²ªﬁ"
+    texts = ["".join(r.choice(chars) for _ in range(r.randrange(60))) for _ in range(4000)]
+    texts += ["don’t <|endoftext|>’ \n’", "a  \n ’b ’", "’", "x" * 50_000 + "’ " + "y’" * 50_000]
+    for path, split in ((WORD, bpe.word_split), (BYTE, bpe.PIECES.findall)):
+        encoder = bpe.Encoder(path, split, None, list)
+        whole = [t for t in texts if encoder.words_of(t) is None]
+        assert len(whole) < len(texts)
+        for i in range(0, len(texts), 256):
+            part = texts[i : i + 256]
+            assert [[x for w in ws for x in w] for ws in encoder.texts(part)] == [encoder.library_ids(t) for t in part]
+        assert encoder.words_of("it’s plain") is not None
+
+
+def test_length_table():
+    terms = {f" w{i}": i % 300 + 1 for i in range(5000)}
+    held = token_counts.LengthTable(token_counts.pack_table(terms))
+    assert held.find({*terms, "absent", ("beyond", " w1")}) == terms
+    assert token_counts.LengthTable(token_counts.pack_table({})).find({"x"}) == {}
