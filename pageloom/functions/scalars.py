@@ -82,7 +82,15 @@ def epoch_iso(seconds: Column) -> Column:
 
 
 def iso_millis(ms: Column) -> Column:
-    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """Milliseconds since 1970 as an ISO text in UTC, by arithmetic alone: the session's zone has no say."""
+    day, rest = F.floor(ms / F.lit(86_400_000)), F.pmod(ms, F.lit(86_400_000))
+    part = lambda unit, most: (F.floor(rest / F.lit(unit)) % most).cast("long")
+    date = F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int")).cast("string")
+    return F.when(ms.isNotNull(), F.format_string("%sT%02d:%02d:%02d.%03dZ", date, part(3_600_000, 24), part(60_000, 60), part(1000, 60), part(1, 1000)))
+
+
+def iso_instant(at: Column) -> Column:
+    return iso_millis(F.unix_millis(at))
 
 
 def iso_date(c: Column, number: Column | None = None) -> Column:
@@ -94,7 +102,7 @@ def iso_date(c: Column, number: Column | None = None) -> Column:
         F.when(zoned.rlike(r"^\d{4}-\d{2}-\d{2}T"), F.try_to_timestamp(zoned)),
         F.when(mail.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4} "), F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss xx"))),
     )
-    text = F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), raw).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    text = F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), raw).otherwise(iso_instant(at))
     return text if number is None else F.coalesce(F.when(number.isNotNull(), iso_millis(number.cast("long"))), text)
 
 

@@ -1,34 +1,64 @@
 """Records from JSON bodies: shops, posts, questions, packages, job boards, vehicles and providers.
 
-Each builder turns a body column into struct<data, error>: the declared schema is read with from_json and the record is built from native
-expressions, so that a job over many bodies stays in generated code; only markup in descriptions goes through one Arrow function. What a
-source doesn't say is null. A body that isn't what it should be gives an error text instead of a failed job. Identifiers are texts.
+A reader parses a body once into a VARIANT, takes the declared fields out of it as one struct, and builds the record of native expressions
+over that struct; only markup in descriptions goes through one Arrow function. `Reader.on` binds the document, so that a body is parsed once
+however often its fields are named. Called as a function, a reader is one column, struct<data, error>, for a single body. What a source doesn't say is null. A body that
+isn't what it should be gives an error text instead of a failed job. Identifiers are texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.functions.bind import bind
 from pageloom.functions.scalars import (
     compare_at_price, epoch_iso, filled, fixed2, is_remote, iso_date, join_location, leading_number, money, none, npi_name, npi_part, npi_yes_no, query_int, strip, tags, texts, trimmed, variant_available, vin_error_codes, vin_value,
 )
 from pageloom.functions.urls import npm_repository_url, safe_href
 from pageloom.operators.markup import html_text, html_texts
 
-Build = Callable[..., Column]
+#: Data and error of a record; data is null where there is an error.
+Made = tuple[Column, Column]
 
 
-def _result(data: Column, *errors: tuple[Column, Column | str]) -> Column:
-    """struct<data, error>: the first condition that holds gives the error, else there is data."""
-    error = F.coalesce(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(say) if isinstance(say, str) else say) for bad, say in errors])
-    return F.struct(F.when(error.isNull(), data).alias("data"), error.alias("error"))
+def _result(data: Column, *errors: tuple[Column, Column | str]) -> Made:
+    """The first condition that holds gives the error, else there is data."""
+    return data, F.coalesce(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(say) if isinstance(say, str) else say) for bad, say in errors])
 
 
-def _not_json(body: Column) -> Column:
-    return F.try_parse_json(body).isNull()
+@dataclass(frozen=True)
+class Reader:
+    """A reader of JSON bodies (or of XML): the type of its document and what makes a record of (document, VARIANT, URL, params)."""
+
+    kind: str
+    make: Callable[[Column, Column, Column, dict], Made]
+    xml: bool = False
+
+    def parse(self, body: Column) -> Column:
+        """The body as VARIANT, null if it is no JSON; XML stays a text."""
+        return body if self.xml else F.try_parse_json(body)
+
+    def document(self, v: Column) -> Column:
+        return F.from_xml(v, self.kind) if self.xml else F.try_variant_get(v, "$", self.kind)
+
+    def on(self, df: DataFrame, body: Column, url: Column, params: dict | None = None) -> DataFrame:
+        """df with _data and _error; the body is parsed once."""
+        df = bind(df.withColumn("_v", self.parse(body)), _doc=self.document(F.col("_v")))
+        data, error = self.make(F.col("_doc"), F.col("_v"), url, params or {})
+        return df.withColumn("_error", error).withColumn("_data", F.when(F.col("_error").isNull(), data)).drop("_v", "_doc")
+
+    def __call__(self, body: Column, url: Column, params: dict | None = None) -> Column:
+        v = self.parse(body)
+        data, error = self.make(self.document(v), v, url, params or {})
+        return F.struct(F.when(error.isNull(), data).alias("data"), error.alias("error"))
+
+
+def _reader(kind: str, *, xml: bool = False) -> Callable[[Callable[[Column, Column, Column, dict], Made]], Reader]:
+    return lambda make: Reader(kind, make, xml)
 
 
 def _say(*parts: Column | str) -> Column:
@@ -98,18 +128,20 @@ def shop_product(p: Column, description: Column, **more: Column) -> Column:
 _SHOP_ONLY = "This template only works on Shopify storefronts."
 
 
-def shopify_product(body: Column, url: Column, params: dict | None = None) -> Column:
-    p = F.from_json(body, f"struct<product:{_PRODUCT}>")["product"]
+@_reader(f"struct<product:{_PRODUCT}>")
+def shopify_product(doc: Column, v: Column, url: Column, params: dict) -> Made:
+    p = doc["product"]
     return _result(
         shop_product(p, html_text(p["body_html"])),
-        (_not_json(body), _say("Not a Shopify product endpoint: ", url, f" did not return JSON. {_SHOP_ONLY}")),
+        (v.isNull(), _say("Not a Shopify product endpoint: ", url, f" did not return JSON. {_SHOP_ONLY}")),
         (p["variants"].isNull(), _say("Not a Shopify product endpoint: ", url, f" returned JSON without a product. {_SHOP_ONLY}")),
     )
 
 
-def shopify_collection(body: Column, url: Column, params: dict | None = None) -> Column:
+@_reader(f"struct<products:array<{_PRODUCT}>>")
+def shopify_collection(doc: Column, v: Column, url: Column, params: dict) -> Made:
     """All products of a collection's page; has_more says whether the page was full."""
-    products = F.from_json(body, f"struct<products:array<{_PRODUCT}>>")["products"]
+    products = doc["products"]
     origin = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1)
     limit, n = F.coalesce(query_int(url, "limit"), F.lit(30)).cast("long"), F.size(products).cast("long")
     page = query_int(url, "page")
@@ -121,7 +153,7 @@ def shopify_collection(body: Column, url: Column, params: dict | None = None) ->
     items = F.zip_with(products, html_texts(F.transform(products, lambda p: p["body_html"])), one)
     return _result(
         _fields(collection=filled(F.regexp_extract(url, r"(?i)/collections/([^/?#]+)", 1)), items=items, count=n, page=F.when(page != 0, page).otherwise(F.lit(1)).cast("long"), limit=limit, has_more=n == limit),
-        (_not_json(body), _say("Not a Shopify collection endpoint: ", url, f" did not return JSON. {_SHOP_ONLY}")),
+        (v.isNull(), _say("Not a Shopify collection endpoint: ", url, f" did not return JSON. {_SHOP_ONLY}")),
         (products.isNull(), _say("Not a Shopify collection endpoint: ", url, f" returned JSON without a products array. {_SHOP_ONLY}")),
     )
 
@@ -132,8 +164,8 @@ _NOTE = 'Read from the Arctic Shift archive, not reddit.com. Scores and comment
 _POST = "id:string,title:string,subreddit:string,author:string,score:double,upvote_ratio:double,num_comments:double,created_utc:double,selftext:string,is_self:boolean,url:string,permalink:string,link_flair_text:string,over_18:boolean,removed_by_category:string,_meta:struct<removal_type:string>"
 
 
-def reddit_thread(body: Column, url: Column, params: dict | None = None) -> Column:
-    doc = F.from_json(body, f"struct<error:string,data:array<struct<{_POST}>>>")
+@_reader(f"struct<error:string,data:array<struct<{_POST}>>>")
+def reddit_thread(doc: Column, v: Column, url: Column, params: dict) -> Made:
     p = F.get(doc["data"], F.lit(0))
     data = _fields(
         **{k: p[k] for k in ("id", "title", "subreddit", "author")},
@@ -151,7 +183,7 @@ def reddit_thread(body: Column, url: Column, params: dict | None = None) -> Colu
     )
     return _result(
         data,
-        (_not_json(body), _say("Not an Arctic Shift document: ", url, " did not return JSON. This template reads the Arctic Shift archive, not reddit.com.")),
+        (v.isNull(), _say("Not an Arctic Shift document: ", url, " did not return JSON. This template reads the Arctic Shift archive, not reddit.com.")),
         (filled(doc["error"]).isNotNull(), _say("Arctic Shift error: ", doc["error"])),
         (p.isNull(), _say("No Reddit post at ", url, ": the Arctic Shift archive has no record of it.")),
     )
@@ -168,9 +200,9 @@ _ANSWER = f"struct<answer_id:string,score:long,is_accepted:boolean,creation_date
 _QUESTION = f"struct<question_id:string,title:string,body:string,score:long,view_count:long,tags:array<string>,{_OWNER},creation_date:double,last_activity_date:double,link:string,is_answered:boolean,accepted_answer_id:string,answer_count:long,answers:array<{_ANSWER}>>"
 
 
-def stackoverflow_question(body: Column, url: Column, params: dict | None = None) -> Column:
+@_reader(f"struct<error_id:long,error_name:string,error_message:string,quota_remaining:long,items:array<{_QUESTION}>>")
+def stackoverflow_question(doc: Column, v: Column, url: Column, params: dict) -> Made:
     """A question with its five best answers: the accepted one first, then by score; ties in the order they came."""
-    doc = F.from_json(body, f"struct<error_id:long,error_name:string,error_message:string,quota_remaining:long,items:array<{_QUESTION}>>")
     q = F.get(doc["items"], F.lit(0))
     answers = _array(q["answers"], _ANSWER)
     ranked = F.array_sort(F.transform(answers, lambda a, i: F.struct((~F.coalesce(a["is_accepted"], F.lit(False))).alias("rest"), (-F.coalesce(a["score"], F.lit(0))).alias("down"), i.alias("i"), a.alias("a"))))
@@ -202,7 +234,7 @@ def stackoverflow_question(body: Column, url: Column, params: dict | None = None
     said = _say("Stack Exchange API error ", doc["error_id"].cast("string"), " (", F.coalesce(filled(doc["error_name"]), F.lit("unknown")), "): ", F.coalesce(filled(doc["error_message"]), F.lit("no message")), ".")
     return _result(
         data,
-        (_not_json(body), _say("Not a Stack Exchange API document: ", url, " did not return JSON. This template reads the Stack Exchange API.")),
+        (v.isNull(), _say("Not a Stack Exchange API document: ", url, " did not return JSON. This template reads the Stack Exchange API.")),
         (doc["error_id"] != 0, said),
         (q.isNull(), _say("No Stack Overflow question at ", url, ": the API returned no items.")),
     )
@@ -219,11 +251,13 @@ def npm_bugs_url(c: Column) -> Column:
     return F.when(c.startswith("{"), F.coalesce(filled(F.get_json_object(c, "$.url")), filled(F.get_json_object(c, "$.email")))).otherwise(filled(c))
 
 
-def npm_package(body: Column, url: Column, params: dict | None = None) -> Column:
+_RELEASE = "struct<description:string,license:string,homepage:string,repository:string,bugs:string,keywords:array<string>,dependencies:map<string,string>,deprecated:string>"
+_PACKAGE = f"struct<name:string,error:string,description:string,license:string,homepage:string,repository:string,bugs:string,keywords:array<string>,maintainers:array<string>,time:map<string,string>,`dist-tags`:map<string,string>,versions:map<string,{_RELEASE}>>"
+
+
+@_reader(_PACKAGE)
+def npm_package(doc: Column, v: Column, url: Column, params: dict) -> Made:
     """The latest release of a package. deprecated is the notice, null without one."""
-    release_kind = "struct<description:string,license:string,homepage:string,repository:string,bugs:string,keywords:array<string>,dependencies:map<string,string>,deprecated:string>"
-    kind = f"struct<name:string,error:string,description:string,license:string,homepage:string,repository:string,bugs:string,keywords:array<string>,maintainers:array<string>,time:map<string,string>,`dist-tags`:map<string,string>,versions:map<string,{release_kind}>>"
-    doc = F.from_json(body, kind)
     latest = filled(F.try_element_at(doc["dist-tags"], F.lit("latest")))
     r = F.try_element_at(doc["versions"], latest)
     either = lambda k: F.coalesce(filled(r[k]), filled(doc[k]))
@@ -250,7 +284,7 @@ def npm_package(body: Column, url: Column, params: dict | None = None) -> Column
     )
     return _result(
         data,
-        (_not_json(body), _say("Not an npm registry document: ", url, " did not return JSON. This template reads the npm registry API.")),
+        (v.isNull(), _say("Not an npm registry document: ", url, " did not return JSON. This template reads the npm registry API.")),
         (doc["name"].isNull(), _say("No npm package at ", url, ": ", F.coalesce(doc["error"], F.lit("no package document")), ".")),
     )
 
@@ -269,9 +303,11 @@ def _link(c: Column) -> Column:
     return safe_href(trimmed(c))
 
 
-def greenhouse_jobs(body: Column, url: Column, params: dict | None = None) -> Column:
-    kind = "struct<error:string,meta:struct<total:long>,jobs:array<struct<id:string,title:string,absolute_url:string,company_name:string,location:struct<name:string>,departments:array<struct<name:string>>,offices:array<struct<name:string>>,first_published:string,updated_at:string,content:string,internal_job_id:string,requisition_id:string>>>"
-    doc = F.from_json(body, kind)
+_GREENHOUSE_JOBS = "struct<error:string,meta:struct<total:long>,jobs:array<struct<id:string,title:string,absolute_url:string,company_name:string,location:struct<name:string>,departments:array<struct<name:string>>,offices:array<struct<name:string>>,first_published:string,updated_at:string,content:string,internal_job_id:string,requisition_id:string>>>"
+
+
+@_reader(_GREENHOUSE_JOBS)
+def greenhouse_jobs(doc: Column, v: Column, url: Column, params: dict) -> Made:
     jobs = doc["jobs"]
 
     def one(j: Column, text: Column) -> Column:
@@ -285,14 +321,16 @@ def greenhouse_jobs(body: Column, url: Column, params: dict | None = None) -> Co
     items = F.zip_with(jobs, html_texts(F.transform(jobs, lambda j: j["content"]), escaped=True), one)
     return _result(
         _list(items, doc["meta"]["total"], company=trimmed(F.get(jobs, F.lit(0))["company_name"])),
-        (_not_json(body), _say("Not a Greenhouse job board response: ", url, " did not return JSON. This connector reads the Greenhouse Job Board API.")),
+        (v.isNull(), _say("Not a Greenhouse job board response: ", url, " did not return JSON. This connector reads the Greenhouse Job Board API.")),
         (jobs.isNull(), _say("No Greenhouse job board at ", url, ": ", F.coalesce(trimmed(doc["error"]), F.lit("no jobs array")), ". The board token is the path segment in https://job-boards.greenhouse.io/<token>.")),
     )
 
 
-def lever_postings(body: Column, url: Column, params: dict | None = None) -> Column:
-    posting = "struct<id:string,text:string,hostedUrl:string,applyUrl:string,workplaceType:string,createdAt:double,descriptionPlain:string,salaryRange:string,categories:struct<location:string,department:string,team:string,commitment:string,level:string,allLocations:array<string>>>"
-    posts = F.when(F.ltrim(body).startswith("["), F.from_json(body, f"array<{posting}>"))
+_POSTING = "struct<id:string,text:string,hostedUrl:string,applyUrl:string,workplaceType:string,createdAt:double,descriptionPlain:string,salaryRange:string,categories:struct<location:string,department:string,team:string,commitment:string,level:string,allLocations:array<string>>>"
+
+
+@_reader(f"array<{_POSTING}>")
+def lever_postings(posts: Column, v: Column, url: Column, params: dict) -> Made:
 
     def one(p: Column) -> Column:
         c = p["categories"]
@@ -302,19 +340,20 @@ def lever_postings(body: Column, url: Column, params: dict | None = None) -> Col
             employment_type=trimmed(c["commitment"]), remote=is_remote(p["workplaceType"]), published_at=iso_date(none(), p["createdAt"]), description=trimmed(p["descriptionPlain"]),
         )
 
-    said = F.coalesce(trimmed(F.get_json_object(body, "$.error")), F.lit("the response was not a list of postings"))
+    said = F.coalesce(trimmed(F.try_variant_get(v, "$.error", "string")), F.lit("the response was not a list of postings"))
     return _result(
         _list(F.transform(posts, one)),
-        (_not_json(body), _say("Not a Lever postings response: ", url, " did not return JSON. This connector reads the Lever Postings API.")),
+        (v.isNull(), _say("Not a Lever postings response: ", url, " did not return JSON. This connector reads the Lever Postings API.")),
         (posts.isNull(), _say("No Lever postings at ", url, ": ", said, ". The company is the path segment in https://jobs.lever.co/<company>, and the request needs mode=json.")),
     )
 
 
-def ashby_jobs(body: Column, url: Column, params: dict | None = None) -> Column:
+_ASHBY_JOBS = "struct<apiVersion:string,jobs:array<struct<id:string,title:string,jobUrl:string,applyUrl:string,location:string,department:string,team:string,employmentType:string,workplaceType:string,publishedAt:string,descriptionPlain:string,secondaryLocations:array<struct<location:string>>>>>"
+
+
+@_reader(_ASHBY_JOBS)
+def ashby_jobs(doc: Column, v: Column, url: Column, params: dict) -> Made:
     """Descriptions are kept where params["descriptions"] is True. The company is params["company"], else the last segment of the URL's path."""
-    params = params or {}
-    kind = "struct<apiVersion:string,jobs:array<struct<id:string,title:string,jobUrl:string,applyUrl:string,location:string,department:string,team:string,employmentType:string,workplaceType:string,publishedAt:string,descriptionPlain:string,secondaryLocations:array<struct<location:string>>>>>"
-    doc = F.from_json(body, kind)
 
     def one(j: Column) -> Column:
         extra = _fields(workplace_type=trimmed(j["workplaceType"]), secondary_locations=texts(F.transform(j["secondaryLocations"], lambda x: x["location"])), apply_url=_link(j["applyUrl"]))
@@ -327,14 +366,16 @@ def ashby_jobs(body: Column, url: Column, params: dict | None = None) -> Column:
     company = F.coalesce(trimmed(F.lit(params.get("company")).cast("string")), last)
     return _result(
         _list(F.transform(doc["jobs"], one), company=company, api_version=trimmed(doc["apiVersion"])),
-        (_not_json(body), _say("Not a Ashby job board response: ", url, " did not return JSON. This connector reads the Ashby Public Job Posting API.")),
+        (v.isNull(), _say("Not a Ashby job board response: ", url, " did not return JSON. This connector reads the Ashby Public Job Posting API.")),
         (doc["jobs"].isNull(), _say("No Ashby job board at ", url, ": no jobs array. The jobs page name is the path segment in https://jobs.ashbyhq.com/<name>.")),
     )
 
 
-def workable_jobs(body: Column, url: Column, params: dict | None = None) -> Column:
-    kind = "struct<name:string,jobs:array<struct<shortcode:string,code:string,title:string,url:string,application_url:string,city:string,state:string,country:string,department:string,employment_type:string,telecommuting:boolean,published_on:string,description:string,function:string>>>"
-    doc = F.from_json(body, kind)
+_WORKABLE_JOBS = "struct<name:string,jobs:array<struct<shortcode:string,code:string,title:string,url:string,application_url:string,city:string,state:string,country:string,department:string,employment_type:string,telecommuting:boolean,published_on:string,description:string,function:string>>>"
+
+
+@_reader(_WORKABLE_JOBS)
+def workable_jobs(doc: Column, v: Column, url: Column, params: dict) -> Made:
     jobs = doc["jobs"]
 
     def one(j: Column, text: Column) -> Column:
@@ -347,14 +388,16 @@ def workable_jobs(body: Column, url: Column, params: dict | None = None) -> Colu
     items = F.zip_with(jobs, html_texts(F.transform(jobs, lambda j: j["description"])), one)
     return _result(
         _list(items, company=trimmed(doc["name"])),
-        (_not_json(body), _say("Not a Workable account response: ", url, " did not return JSON. This connector reads the public Workable accounts endpoint.")),
+        (v.isNull(), _say("Not a Workable account response: ", url, " did not return JSON. This connector reads the public Workable accounts endpoint.")),
         (jobs.isNull(), _say("No Workable account at ", url, ": no jobs array. The account subdomain is the path segment in https://apply.workable.com/<subdomain>.")),
     )
 
 
-def recruitee_offers(body: Column, url: Column, params: dict | None = None) -> Column:
-    kind = "struct<error:string,offers:array<struct<id:string,title:string,careers_url:string,careers_apply_url:string,company_name:string,location:string,department:string,employment_type_code:string,remote:boolean,hybrid:boolean,on_site:boolean,published_at:string,updated_at:string,description:string,slug:string,salary:string,tags:array<string>>>>"
-    doc = F.from_json(body, kind)
+_RECRUITEE_OFFERS = "struct<error:string,offers:array<struct<id:string,title:string,careers_url:string,careers_apply_url:string,company_name:string,location:string,department:string,employment_type_code:string,remote:boolean,hybrid:boolean,on_site:boolean,published_at:string,updated_at:string,description:string,slug:string,salary:string,tags:array<string>>>>"
+
+
+@_reader(_RECRUITEE_OFFERS)
+def recruitee_offers(doc: Column, v: Column, url: Column, params: dict) -> Made:
     offers = doc["offers"]
 
     def one(o: Column, text: Column) -> Column:
@@ -368,17 +411,18 @@ def recruitee_offers(body: Column, url: Column, params: dict | None = None) -> C
     items = F.zip_with(offers, html_texts(F.transform(offers, lambda o: o["description"])), one)
     return _result(
         _list(items, company=trimmed(F.get(offers, F.lit(0))["company_name"])),
-        (_not_json(body), _say("Not a Recruitee offers response: ", url, " did not return JSON. This connector reads the Recruitee Careers Site API.")),
+        (v.isNull(), _say("Not a Recruitee offers response: ", url, " did not return JSON. This connector reads the Recruitee Careers Site API.")),
         (offers.isNull(), _say("No Recruitee careers site at ", url, ": ", F.coalesce(trimmed(doc["error"]), F.lit("no offers array")), ". The company is the subdomain in https://<company>.recruitee.com.")),
     )
 
 
-def teamtailor_jobs(body: Column, url: Column, params: dict | None = None) -> Column:
+_ITEM = "struct<guid:string,title:string,link:string,pubDate:string,description:string,remoteStatus:string,`tt:department`:string,`tt:role`:string,`tt:division`:string,`tt:locations`:struct<`tt:location`:array<struct<`tt:name`:string>>>>"
+
+
+@_reader(f"struct<channel:struct<title:string,item:array<{_ITEM}>>>", xml=True)
+def teamtailor_jobs(feed: Column, body: Column, url: Column, params: dict) -> Made:
     """A board's RSS feed. from_xml reads it; names keep their prefix."""
-    place = "struct<`tt:name`:string>"
-    item = f"struct<guid:string,title:string,link:string,pubDate:string,description:string,remoteStatus:string,`tt:department`:string,`tt:role`:string,`tt:division`:string,`tt:locations`:struct<`tt:location`:array<{place}>>>"
-    feed = F.from_xml(body, f"struct<channel:struct<title:string,item:array<{item}>>>")
-    items = _array(feed["channel"]["item"], item)
+    items = _array(feed["channel"]["item"], _ITEM)
 
     def one(j: Column, text: Column) -> Column:
         locations = texts(F.transform(j["tt:locations"]["tt:location"], lambda x: x["tt:name"]))
@@ -406,15 +450,15 @@ VIN_FIELDS = [
 ]
 
 
-def nhtsa_vin(body: Column, url: Column, params: dict | None = None) -> Column:
-    doc = F.from_json(body, "struct<message:string,Results:array<map<string,string>>>")
+@_reader("struct<message:string,Results:array<map<string,string>>>")
+def nhtsa_vin(doc: Column, v: Column, url: Column, params: dict) -> Made:
     first = F.get(doc["Results"], F.lit(0))
     raw = F.transform_values(first, lambda k, v: vin_value(v))
     at = lambda k: F.try_element_at(raw, F.lit(k))
     errors = _fields(codes=vin_error_codes(at("ErrorCode")), text=at("ErrorText"), additional_text=at("AdditionalErrorText"), suggested_vin=at("SuggestedVIN"))
     return _result(
         _fields(**{k: at(name) for k, name in VIN_FIELDS}, decode_errors=errors, raw=raw),
-        (_not_json(body), _say("Not a vPIC decode response: ", url, " did not return JSON. This template reads the NHTSA vPIC DecodeVinValues API.")),
+        (v.isNull(), _say("Not a vPIC decode response: ", url, " did not return JSON. This template reads the NHTSA vPIC DecodeVinValues API.")),
         (~F.coalesce(F.map_contains_key(first, "ErrorCode"), F.lit(False)), _say("Not a vPIC decode response: ", url, " returned ", F.coalesce(doc["message"], F.lit("JSON without a decoded vehicle")), ". This template reads the NHTSA vPIC DecodeVinValues API.")),
     )
 
@@ -433,9 +477,9 @@ def _npi_name(n: Column) -> Column:
     return npi_name(n["organization_name"], F.coalesce(n["name_prefix"], n["prefix"]), n["first_name"], n["middle_name"], n["last_name"], F.coalesce(n["name_suffix"], n["suffix"]))
 
 
-def npi_provider(body: Column, url: Column, params: dict | None = None) -> Column:
+@_reader(f"struct<Errors:array<struct<field:string,description:string>>,results:array<{_PROVIDER}>>")
+def npi_provider(doc: Column, v: Column, url: Column, params: dict) -> Made:
     """Providers with their addresses by purpose; no person's sex and no official's name is passed on."""
-    doc = F.from_json(body, f"struct<Errors:array<struct<field:string,description:string>>,results:array<{_PROVIDER}>>")
 
     def one(r: Column) -> Column:
         b = r["basic"]
@@ -453,7 +497,7 @@ def npi_provider(body: Column, url: Column, params: dict | None = None) -> Colum
     detail = F.array_join(F.transform(doc["Errors"], lambda e: F.concat_ws(": ", filled(e["field"]), filled(e["description"]))), "; ")
     return _result(
         _list(items, limit=limit, skip=skip, more_possible=F.size(items).cast("long") == limit),
-        (_not_json(body), _say("Not an NPI registry response: ", url, " did not return JSON. This connector reads the NPPES NPI Registry API.")),
+        (v.isNull(), _say("Not an NPI registry response: ", url, " did not return JSON. This connector reads the NPPES NPI Registry API.")),
         (F.size(doc["Errors"]) > 0, _say("NPI registry rejected the query for ", url, ": ", detail, ".")),
         (doc["results"].isNull(), _say("Not an NPI registry response: ", url, " returned JSON without a results array. This connector reads the NPPES NPI Registry API.")),
     )

@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from pageloom.functions import urls
+from pageloom.functions.bind import bind
+from pageloom.functions.scalars import iso_instant
 from pageloom.operators import pages, records
 from pageloom.sources.requests import NPI_FIELDS, list_url
 
 
 @dataclass(frozen=True)
 class Template:
-    """A reader of one kind of body. build gives struct<data, error> of (body, url, params); list readers' data holds items and count."""
+    """A reader of one kind of body. build gives struct<data, error> of (body, url, params), or is a Reader; list readers' data holds items and count."""
 
     id: str
     name: str
@@ -108,20 +110,30 @@ class Registry:
             raise ValueError(f'Template "{name}" returns a single entity, not a list. Use run() instead. List connectors: {lists or "none registered"}.')
         return t
 
+    @staticmethod
+    def _read(df: DataFrame, t: Template, body: Column, url: Column, params: dict | None) -> DataFrame:
+        """df with _data and _error, each computed once a row."""
+        if isinstance(t.build, records.Reader):
+            return t.build.on(df, body, url, params)
+        out = bind(df, _r=t.build(body, url, params))
+        return out.withColumn("_error", F.col("_r.error")).withColumn("_data", F.when(F.col("_error").isNull(), F.col("_r.data"))).drop("_r")
+
+    @staticmethod
+    def _nothing(t: Template, data: Column, kind: StructType) -> Column:
+        """The error of an entity of which every field is empty."""
+        said = f'Template "{t.id}" matched the page but extracted no data — every field came back empty. The server likely answered with an interstitial (captcha, consent or bot wall) or the site changed its layout. This is an extraction failure, not a page with nothing on it.'
+        nothing = F.lit(t.mode == "entity")
+        for f in kind.fields:
+            nothing = nothing & _empty(data[f.name], f.dataType)
+        return F.when(nothing, F.lit(said))
+
     def run(self, df: DataFrame, name: str, *, body: str = "body", url: str = "url", fetched_url: str | None = None, as_of: Column | None = None) -> DataFrame:
         """df with template, template_name, fetched_url (where it differs), data, extracted_at, warnings and error. A record of which every field is empty is an error."""
         t = self._known(name, "entity")
-        out = df.withColumn("_r", t.build(F.col(body), F.col(url), None))
-        kind: StructType = out.schema["_r"].dataType["data"].dataType
-        fields = [f for f in kind.fields]
-        nothing = F.lit(True)
-        for f in fields:
-            nothing = nothing & _empty(F.col("_r.data")[f.name], f.dataType)
-        said = f'Template "{name}" matched the page but extracted no data — every field came back empty. The server likely answered with an interstitial (captcha, consent or bot wall) or the site changed its layout. This is an extraction failure, not a page with nothing on it.'
-        error = F.coalesce(F.col("_r.error"), F.when(nothing, F.lit(said)))
-        data = F.when(error.isNull(), F.col("_r.data"))
+        out = self._read(df, t, F.col(body), F.col(url), None)
+        error = F.coalesce(F.col("_error"), self._nothing(t, F.col("_data"), out.schema["_data"].dataType))
         fetched = F.col(fetched_url) if fetched_url else F.lit(None).cast("string")
-        return self._envelope(out, t, error, data, as_of).withColumns({
+        return self._envelope(out, t, error, F.when(F.col("error").isNull(), F.col("_data")), as_of).withColumns({
             "fetched_url": F.when(fetched != F.col(url), fetched),
             "warnings": F.when(F.col("error").isNull(), t.warnings(F.col("data"), F.col(url))) if t.warnings else F.lit(None).cast("array<string>"),
         })
@@ -129,13 +141,60 @@ class Registry:
     def run_list(self, df: DataFrame, name: str, *, body: str = "body", url: str = "url", params: dict | None = None, as_of: Column | None = None) -> DataFrame:
         """df with template, template_name, data (items, count and what the connector adds), extracted_at and error."""
         t = self._known(name, "list")
-        out = df.withColumn("_r", t.build(F.col(body), F.col(url), params))
-        return self._envelope(out, t, F.col("_r.error"), F.col("_r.data"), as_of)
+        return self._envelope(self._read(df, t, F.col(body), F.col(url), params), t, F.col("_error"), F.col("_data"), as_of)
+
+    def run_all(self, df: DataFrame, *, body: str = "body", url: str = "url", fetched_url: str | None = None, params: dict[str, dict] | None = None, as_of: Column | None = None) -> DataFrame:
+        """Bodies of any kinds in one pass: df with template, template_name, mode, fetched_url, data (VARIANT), extracted_at, warnings and error.
+
+        Each row's template is the one that its URL chooses; the body is parsed once, by that template, and the record is a VARIANT, since
+        records of different templates differ in type. A URL that no template reads keeps its row, with an error; so does one whose reader is gone.
+        Nothing is shuffled, and pages of a kind reach that kind's parser only. params: parameters by template.
+        """
+        mine = {"_template": F.coalesce(self.detect(F.col(url)), F.lit("")), "_gone": retired_template(F.col(url))["reason"]}
+        out = df.withColumns(mine)
+        chosen = {t.id: F.col("_template") == t.id for t in self.templates.values() if t.pattern}
+        json = [i for i in chosen if isinstance(self.templates[i].build, records.Reader) and not self.templates[i].build.xml]
+        out = out.withColumn("_v", F.try_parse_json(F.when(F.col("_template").isin(json), F.col(body))))
+        made: dict[str, tuple[Column, Column]] = {}
+        docs = {}
+        for k, (i, here) in enumerate(chosen.items()):
+            t = self.templates[i]
+            if isinstance(t.build, records.Reader):
+                v = F.when(here, F.col(body)) if t.build.xml else F.when(here, F.col("_v"))
+                docs[f"_doc{k}"] = t.build.document(v)
+            else:
+                docs[f"_doc{k}"] = t.build(F.when(here, F.coalesce(F.col(body), F.lit(""))), F.when(here, F.coalesce(F.col(url), F.lit(""))), (params or {}).get(i))
+        out = bind(out, **docs)
+        for k, i in enumerate(chosen):
+            t, doc = self.templates[i], F.col(f"_doc{k}")
+            if isinstance(t.build, records.Reader):
+                made[i] = t.build.make(doc, F.col(body) if t.build.xml else F.col("_v"), F.col(url), (params or {}).get(i, {}))
+            else:
+                made[i] = (doc["data"], doc["error"])
+        out = out.withColumns({f"_error{k}": F.when(chosen[i], made[i][1]) for k, i in enumerate(made)})
+        out = out.withColumns({f"_data{k}": F.when(chosen[i] & F.col(f"_error{k}").isNull(), made[i][0]) for k, i in enumerate(made)})
+        unread = F.when(F.col("_template") == "", F.coalesce(F.col("_gone"), F.concat(F.lit("No template reads "), F.coalesce(F.col(url), F.lit("an unknown address")), F.lit("."))))
+        nothing = [F.when(chosen[i] & F.col(f"_error{k}").isNull(), self._nothing(self.templates[i], F.col(f"_data{k}"), out.schema[f"_data{k}"].dataType)) for k, i in enumerate(made) if self.templates[i].mode == "entity"]
+        out = out.withColumn("_error", F.coalesce(unread, *[F.col(f"_error{k}") for k in range(len(made))], *nothing))
+        fits = F.col("_error").isNull()
+        warned = [F.when(fits & chosen[i], self.templates[i].warnings(F.col(f"_data{k}"), F.col(url))) for k, i in enumerate(made) if self.templates[i].warnings]
+        name = lambda f: F.coalesce(*[F.when(chosen[i], F.lit(f(self.templates[i]))) for i in chosen])
+        fetched = F.col(fetched_url) if fetched_url else F.lit(None).cast("string")
+        told = bind(
+            out, template=F.when(F.col("_template") != "", F.col("_template")), template_name=name(lambda t: t.name), mode=name(lambda t: t.mode), fetched_url=F.when(fetched != F.col(url), fetched),
+            data=F.coalesce(*[F.when(fits, F.to_variant_object(F.col(f"_data{k}"))) for k in range(len(made))]), extracted_at=self._at(as_of),
+            warnings=F.coalesce(*warned, F.lit(None).cast("array<string>")), error=F.col("_error"),
+        )
+        return told.drop(*docs, *(f"_{x}{k}" for x in ("error", "data") for k in range(len(made))), "_v", "_error", *mine)
 
     @staticmethod
-    def _envelope(out: DataFrame, t: Template, error: Column, data: Column, as_of: Column | None) -> DataFrame:
-        at = F.date_format(F.current_timestamp() if as_of is None else as_of, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-        return out.withColumns({"template": F.lit(t.id), "template_name": F.lit(t.name), "data": data, "extracted_at": at, "error": error}).drop("_r")
+    def _at(as_of: Column | None) -> Column:
+        """A time as UTC in text, whatever the session's zone."""
+        return iso_instant(F.current_timestamp() if as_of is None else as_of)
+
+    @classmethod
+    def _envelope(cls, out: DataFrame, t: Template, error: Column, data: Column, as_of: Column | None) -> DataFrame:
+        return out.withColumn("error", error).withColumns({"template": F.lit(t.id), "template_name": F.lit(t.name), "data": data, "extracted_at": cls._at(as_of)}).drop("_data", "_error")
 
 
 def items(df: DataFrame, *keep: str) -> DataFrame:
