@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -17,11 +17,24 @@ WS = "\t\n\x0b\f\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEAD_ONLY = frozenset("base link meta title style script noscript template".split())
 RAW = frozenset("script style xmp iframe noembed noframes plaintext".split())
-CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dt dd".split())
-CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}), "option": ({"option"}, {"select"}), "a": ({"a"}, {"td", "th", "table", "div"}),
+CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr listing main menu nav ol p pre search section summary table ul li dt dd plaintext xmp".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+MARKED = frozenset("applet caption marquee object td template th".split())
+SPECIAL = frozenset(
+    "address applet area article aside base basefont bgsound blockquote body br button caption center col colgroup dd details dir div dl dt embed fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe img input keygen li link listing main marquee menu meta nav noembed noframes noscript object ol p param plaintext pre script search section select source style summary table tbody td template textarea tfoot th thead title tr track ul wbr xmp".split()
+)
+SCOPE = frozenset("applet caption html marquee object table td template th".split())
+BUTTON_SCOPE, LIST_SCOPE = SCOPE | {"button"}, SCOPE | {"ol", "ul"}
+TABLE_PARTS = frozenset("table tbody tfoot thead tr".split())
+#: What a table's part stands in, and what is put there where it is missing.
+TABLE_PLACES = {
+    "caption": ({"table"}, {}), "colgroup": ({"table"}, {}), "col": ({"colgroup", "table"}, {"table": ["colgroup"]}), "tbody": ({"table"}, {}), "thead": ({"table"}, {}), "tfoot": ({"table"}, {}), "tr": ({"tbody", "thead", "tfoot", "table"}, {"table": ["tbody"]}),
+    **dict.fromkeys(("td", "th"), ({"tr", "tbody", "thead", "tfoot", "table"}, {"table": ["tbody", "tr"], "tbody": ["tr"], "thead": ["tr"], "tfoot": ["tr"]})),
 }
+ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+#: Formatting elements that are opened again in a new block, at most: of nested ones with different attributes the innermost.
+MOST_REOPENED = 64
 _SPACES = re.compile(f"[{WS}]+")
 _STRIP = re.compile(f"^[{WS}]+|[{WS}]+$")
 
@@ -35,10 +48,10 @@ def collapse(text: str) -> str:
 
 
 class Node:
-    __slots__ = ("attrs", "children", "name", "parent")
+    __slots__ = ("attrs", "children", "name", "parent", "pos")
 
     def __init__(self, name: str, attrs: dict[str, str] | None = None, parent: Node | None = None) -> None:
-        self.name, self.attrs, self.children, self.parent = name, attrs or {}, [], parent
+        self.name, self.attrs, self.children, self.parent, self.pos = name, attrs or {}, [], parent, -1
 
     def walk(self) -> Iterator[Node]:
         """All elements below, in document order."""
@@ -89,55 +102,213 @@ class Node:
         return [t for n in self.all(selector) if (t := strip(n.text()))]
 
 
+def _last(items: list, x: object) -> int:
+    """The place of x itself, searched from the end, where it mostly is."""
+    return next(i for i in range(len(items) - 1, -1, -1) if items[i] is x)
+
+
 class Builder(HTMLParser):
-    """A tree with html, head and body always there, implied table parts and implied ends of p, li, td and the like."""
+    """A tree as browsers build it, after the HTML standard's tree construction.
+
+    html, head and body are always there; parts of tables and ends of paragraphs, items and cells are implied; formatting elements that are
+    left open go on in the next block, misnested ones are split, and what doesn't belong into a table stands before it. Left out: frames,
+    what a select refuses, and namespaces other than self-closing elements in svg and math. An open element knows its place on the stack, and
+    there are stacks of the open elements by name and of those that stop a search, so that looking for one doesn't walk through the others.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("#document")
-        self.html = self._add(self.root, "html")
-        self.head = self._add(self.html, "head")
+        self.html = self._append(self.root, Node("html"))
+        self.head = self._append(self.html, Node("head"))
         self.body: Node | None = None
-        self.at = self.head
-        self.open: Counter[str] = Counter()
+        self.stack = [self.html, self.head]
+        self.open: defaultdict[str, list[Node]] = defaultdict(list)
+        self.special: list[Node] = []
+        self.active: list[Node | None] = []  # formatting elements to open again; None marks a cell's or an object's begin
+        self.fostering = False
+
+    # Placing.
 
     @staticmethod
-    def _add(parent: Node, name: str, attrs: dict[str, str] | None = None) -> Node:
-        node = Node(name, attrs, parent)
-        parent.children.append(node)
+    def _append(parent: Node, x: Node) -> Node:
+        x.parent = parent
+        parent.children.append(x)
+        return x
+
+    def _place(self, x: Node | str, at: Node | None = None) -> None:
+        """Appends x to the open element; before the table where it doesn't belong into one."""
+        at = at or self.stack[-1]
+        parent, before = at, None
+        if self.fostering and at.name in TABLE_PARTS:
+            table = next(n for n in reversed(self.stack) if n.name in ("table", "html"))
+            if table.name == "table":
+                parent, before = (table.parent, table) if table.parent else (self.stack[_last(self.stack, table) - 1], None)
+        if isinstance(x, Node):
+            x.parent = parent
+        if before is None:
+            parent.children.append(x)
+        else:
+            parent.children.insert(_last(parent.children, before), x)
+
+    def _enter(self, name: str, attrs: dict[str, str] | None = None) -> Node:
+        node = Node(name, attrs)
+        self._place(node)
+        node.pos = len(self.stack)
+        self.stack.append(node)
+        self.open[name].append(node)
+        if name in SPECIAL:
+            self.special.append(node)
+        if name in MARKED:
+            self.active.append(None)
         return node
 
-    def _enter(self, name: str, attrs: dict[str, str] | None = None) -> None:
-        self.at = self._add(self.at, name, attrs)
-        self.open[name] += 1
+    def _off(self, node: Node) -> None:
+        """Off the lists of open elements, not off the stack."""
+        node.pos = -1
+        for some in (self.open[node.name], *([self.special] if node.name in SPECIAL else [])):
+            del some[_last(some, node)]
+
+    def _replace(self, start: int, end: int, new: list[Node]) -> None:
+        """Other elements on the stack from start to end."""
+        for x in self.stack[start:end]:
+            if not any(x is y for y in new):
+                self._off(x)
+        self.stack[start:end] = new
+        for i in range(start, start + len(new) if len(new) == end - start else len(self.stack)):
+            self.stack[i].pos = i
 
     def _leave(self, node: Node) -> None:
         """Closes everything up to node and node itself."""
         while True:
-            x = self.at
-            self.open[x.name] -= 1
-            self.at = x.parent
+            x = self.stack.pop()
+            self._off(x)
+            if x.name in MARKED:
+                while self.active and self.active.pop() is not None:
+                    pass
             if x is node:
                 return
 
     def _in_body(self) -> None:
         if self.body is None:
-            self.body = self.at = self._add(self.html, "body")
+            self.body = self._append(self.html, Node("body"))
+            self.stack = [self.html, self.body]
             self.open.clear()
 
-    def _fixed(self, node: Node) -> bool:
-        return node is self.html or node is self.head or node is self.body or node is self.root
+    def _inmost(self, names: set[str] | frozenset[str]) -> Node | None:
+        return max((self.open[n][-1] for n in names if self.open.get(n)), key=lambda x: x.pos, default=None)
+
+    def _scope(self, names: set[str] | frozenset[str], bounds: frozenset[str] = SCOPE) -> Node | None:
+        """The innermost open element of these names that no boundary hides."""
+        found = self._inmost(names)
+        wall = self._inmost(bounds - names) if found else None
+        return None if wall and wall.pos > found.pos else found
+
+    def _close(self, names: set[str] | frozenset[str], bounds: frozenset[str] = SCOPE) -> bool:
+        node = self._scope(names, bounds)
+        if node:
+            self._leave(node)
+        return node is not None
+
+    # Formatting elements.
+
+    def _reopen(self) -> None:
+        k = len(self.active)
+        while k and self.active[k - 1] is not None and self.active[k - 1].pos < 0:
+            k -= 1
+        for i in range(k, len(self.active)):
+            self.active[i] = self._enter(self.active[i].name, dict(self.active[i].attrs))
+
+    def _remember(self, node: Node) -> None:
+        own = []
+        for i in range(len(self.active) - 1, -1, -1):
+            if self.active[i] is None:
+                break
+            own.append(i)
+        same = [i for i in own if self.active[i].name == node.name and self.active[i].attrs == node.attrs]
+        if len(same) >= 3:
+            del self.active[same[-1]]
+        elif len(own) >= MOST_REOPENED:
+            del self.active[own[-1]]
+        self.active.append(node)
+
+    def _formatting(self, name: str) -> Node | None:
+        for x in reversed(self.active):
+            if x is None or x.name == name:
+                return x
+        return None
 
-    def _close(self, names: set[str] | frozenset[str], until: set[str] | frozenset[str]) -> None:
-        if not any(self.open[n] for n in names):
+    def _forget(self, node: Node) -> None:
+        if any(x is node for x in self.active):
+            del self.active[_last(self.active, node)]
+
+    def _split(self, name: str) -> None:
+        """The end of a formatting element that may have blocks inside which stay open: these get it as their content's wrapper."""
+        top = self.stack[-1]
+        if top.name == name and not any(x is top for x in self.active):
+            self._leave(top)
             return
-        node, last = self.at, None
-        while not self._fixed(node) and node.name not in until:
-            if node.name in names:
-                last = node
-            node = node.parent
-        if last is not None:
-            self._leave(last)
+        for turn in range(8):
+            node = self._formatting(name)
+            if node is None:
+                if not turn:
+                    self._end(name)
+                return
+            if node.pos < 0:
+                self._forget(node)
+                return
+            wall = self._inmost(SCOPE)
+            if wall and wall.pos > node.pos:
+                return
+            k = node.pos
+            block = next((i for i in range(k + 1, len(self.stack)) if self.stack[i].name in SPECIAL), None)
+            if block is None:
+                self._leave(node)
+                self._forget(node)
+                return
+            self._rewrap(k, block)
+
+    def _rewrap(self, k: int, block: int) -> None:
+        node, furthest = self.stack[k], self.stack[block]
+        mark, inner, kept = _last(self.active, node), furthest, []
+        for steps, between in enumerate(reversed(self.stack[k + 1 : block]), 1):
+            i = next((i for i, x in enumerate(self.active) if x is between), None)
+            if i is not None and steps > 3:
+                del self.active[i]
+                mark -= i < mark
+                i = None
+            if i is None:
+                continue
+            twin = self.active[i] = Node(between.name, dict(between.attrs))
+            kept.append(twin)
+            if inner is furthest:
+                mark = i + 1
+            self._move(inner, twin)
+            inner = twin
+        if inner.parent:
+            del inner.parent.children[_last(inner.parent.children, inner)]
+        held, self.fostering = self.fostering, True
+        self._place(inner, self.stack[k - 1])
+        self.fostering = held
+        twin = Node(node.name, dict(node.attrs), furthest)
+        twin.children, furthest.children = furthest.children, [twin]
+        for c in twin.children:
+            if isinstance(c, Node):
+                c.parent = twin
+        i = _last(self.active, node)
+        del self.active[i]
+        self.active.insert(mark - (i < mark), twin)
+        self._replace(k, block + 1, [*reversed(kept), furthest, twin])
+        for x in [*reversed(kept), twin]:
+            own = self.open[x.name]
+            own.insert(next((j + 1 for j in range(len(own) - 1, -1, -1) if own[j].pos < x.pos), 0), x)
+
+    def _move(self, x: Node, to: Node) -> None:
+        if x.parent:
+            del x.parent.children[_last(x.parent.children, x)]
+        self._append(to, x)
+
+    # Tags and texts.
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         values: dict[str, str] = {}
@@ -152,44 +323,120 @@ class Builder(HTMLParser):
             return
         if self.body is None and tag not in HEAD_ONLY:
             self._in_body()
-        if tag in CLOSES_P:
-            self._close({"p"}, {"table", "button", "td", "th", "caption"})
-        if tag in CLOSES:
-            self._close(*CLOSES[tag])
-        if tag in ("tr", "td", "th") and self.at.name == "table":
-            self._enter("tbody")
-        if tag in ("td", "th") and self.at.name in ("tbody", "thead", "tfoot"):
-            self._enter("tr")
+        if tag in TABLE_PLACES:
+            self._table_part(tag, values)
+            return
+        in_table = self.stack[-1].name in TABLE_PARTS
+        if in_table and tag == "table":
+            self._close({"table"}, frozenset({"html"}))
+        elif in_table and tag not in ("script", "style", "template") and not (tag == "input" and values.get("type", "").lower() == "hidden"):
+            self.fostering = True
+        self._start(tag, values)
+        self.fostering = False
+
+    def _table_part(self, tag: str, values: dict[str, str]) -> None:
+        """Without an open table it is ignored."""
+        if not self.open["table"]:
+            return
+        places, missing = TABLE_PLACES[tag]
+        while self.stack[-1].name not in places:
+            self._leave(self.stack[-1])
+        for name in missing.get(self.stack[-1].name, []):
+            self._enter(name)
         if tag in VOID:
-            self._add(self.at, tag, values)
+            self._place(Node(tag, values))
         else:
             self._enter(tag, values)
 
+    def _start(self, tag: str, values: dict[str, str]) -> None:
+        if tag in CLOSES_P:
+            if tag in ITEMS:
+                self._close_item(ITEMS[tag])
+            self._close({"p"}, BUTTON_SCOPE)
+            if tag in HEADINGS and self.stack[-1].name in HEADINGS:
+                self._leave(self.stack[-1])
+            if tag == "form" and self.open["form"]:
+                return
+        elif tag == "a":
+            if node := self._formatting("a"):
+                self._split("a")
+                self._forget(node)
+                if node.pos >= 0:
+                    self._replace(node.pos, node.pos + 1, [])
+        elif tag == "nobr":
+            self._reopen()
+            if self._scope({"nobr"}):
+                self._split("nobr")
+        elif tag == "button":
+            self._close({"button"})
+        elif tag in ("option", "optgroup") and self.stack[-1].name == "option":
+            self._leave(self.stack[-1])
+        if self.body is not None and tag not in CLOSES_P and tag not in HEAD_ONLY and tag not in ("param", "source", "track"):
+            self._reopen()
+        if tag in VOID:
+            self._place(Node(tag, values))
+        else:
+            node = self._enter(tag, values)
+            if tag in FORMATTING:
+                self._remember(node)
+
+    def _close_item(self, names: set[str]) -> None:
+        """An open item ends where only paragraphs, divisions and addresses of its own are open."""
+        found = self._inmost(names)
+        wall = next((x for x in reversed(self.special) if x.name not in ("address", "div", "p")), None) if found else None
+        if found and (wall is found or wall.pos < found.pos):
+            self._leave(found)
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
+        if (self.open["svg"] or self.open["math"]) and self.stack[-1].name == tag:
+            self._leave(self.stack[-1])
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body"):
             return
         if tag == "head":
             self._in_body()
-        elif self.open[tag] > 0:
-            node = self.at
-            while node.name != tag:
-                node = node.parent
-            self._leave(node)
+        elif tag == "br":
+            self.handle_starttag(tag, [])
         elif tag == "p":
             self._in_body()
-            self._add(self.at, "p")
+            if not self._close({"p"}, BUTTON_SCOPE):
+                self._start("p", {})
+                self._leave(self.stack[-1])
+        elif tag in TABLE_PLACES or tag == "table":
+            self._close({tag}, frozenset({"table", "html"}))
+        elif tag in FORMATTING and self.body is not None:
+            self._split(tag)
+        elif tag in HEADINGS:
+            self._close(HEADINGS)
+        elif tag in ITEMS:
+            self._close({tag}, LIST_SCOPE if tag == "li" else SCOPE)
+        elif tag in CLOSES_P or tag in MARKED or tag == "button":
+            self._close({tag})
+        else:
+            self._end(tag)
+
+    def _end(self, tag: str) -> None:
+        """The end of an element that is neither block nor formatting: no block may stand between."""
+        if found := self._inmost({tag}):
+            if not self.special or self.special[-1].pos <= found.pos:
+                self._leave(found)
 
     def handle_data(self, data: str) -> None:
-        if self.body is None and self.at is self.head and strip(data):
+        blank = not strip(data)
+        if self.body is None and self.stack[-1] is self.head and not blank:
             self._in_body()
-        if self.body is not None or self.at is not self.head:
-            self.at.children.append(data)
+        if self.body is None and self.stack[-1] is self.head:
+            return
+        self.fostering = self.stack[-1].name in TABLE_PARTS and not blank
+        if self.body is not None and (self.fostering or self.stack[-1].name not in TABLE_PARTS) and self.stack[-1].name not in RAW:
+            self._reopen()
+        self._place(data)
+        self.fostering = False
 
     def handle_comment(self, data: str) -> None:
-        self._add(self.at, "#comment", {"data": data})
+        self.stack[-1].children.append(Node("#comment", {"data": data}, self.stack[-1]))
 
 
 def parse(html: str | None) -> Builder:
