@@ -282,7 +282,7 @@ def _selected(h: Column) -> Column:
 
 def _alike(a: Column, b: Column) -> Column:
     x, y = (dom.projections(c, F.lit("https://a.test/")) for c in (a, b))
-    return dom.similarity(x["tags"], x["depths"], y["tags"], y["depths"])
+    return highlights.let(F.struct(x.alias("x"), y.alias("y")), lambda p: dom.similarity(p["x"]["tags"], p["x"]["depths"], p["y"]["tags"], p["y"]["depths"]))  # one parse of each page
 
 
 def _lit(x: str | None) -> str:

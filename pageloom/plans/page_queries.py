@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions.bind import bind
-from pageloom.operators import dom
+from pageloom.operators import dom, similar
 
 
 def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,25 @@ def lnk2_made_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lnk1_made_links(spark, sf_dir).groupBy("type", "domain").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (txt1_made_pages, str1_made_pages, lnk1_made_links, lnk2_made_types)}
+def _structures(html: DataFrame, key: str) -> DataFrame:
+    return bind(html, p=dom.projections("html", "url")).select(F.col(key).alias("page_id"), "p.tags", "p.depths")
+
+
+def str2_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pages have each page's structure, and how many others one that is similar by 0.9 or more."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html", "url")
+    return similar.similar_pages(_structures(pages, "page_id")).select("page_id", "n_equal", "n_links")
+
+
+def str2_made_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for pages made of parts, whose structures SQL can state."""
+    k = F.col("p_partkey")
+    html = F.concat(F.expr("repeat('<p>x</p>', p_size)"), F.lit("<div>"), F.expr("repeat('<span>y</span>', cast(p_partkey % 7 as int))"), F.lit("</div>"), F.when(k % 3 == 0, "<hr>").otherwise(""))
+    pages = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", html.alias("html"), F.lit("https://a.test/").alias("url"))
+    return similar.similar_pages(_structures(pages, "p_partkey")).select("page_id", "n_equal", "n_links")
+
+
+QUERIES = {f.__name__: f for f in (txt1_made_pages, str1_made_pages, lnk1_made_links, lnk2_made_types, str2_page_links, str2_made_links)}
 
 _LINKS = """
 WITH l AS (
@@ -70,5 +88,11 @@ SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN c_name || chr(10) || c_mktsegme
 SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'b body head html p' WHEN 1 THEN 'a body div head html' WHEN 2 THEN 'body head html table tbody td tr' WHEN 3 THEN 'b body head html i p' WHEN 4 THEN 'b body head html table tbody td tr' WHEN 5 THEN 'body head html li ul' ELSE 'a base body head html' END AS tags,
   CASE c_custkey % 7 WHEN 0 THEN '1 2 2 2' WHEN 1 THEN '1 2 2 2' WHEN 2 THEN '1 2 1 1 1 1' WHEN 3 THEN '1 2 1 2 1' WHEN 4 THEN '1 2 1 1 1 2 1' WHEN 5 THEN '1 2 1 2 1 1' ELSE '1 2 5' END AS depths FROM customer""",
     "lnk1_made_links": _LINKS + "SELECT c_custkey, pos, href, text, type, domain, original_href FROM m",
+    "str2_made_links": """
+WITH p AS (SELECT p_partkey, p_size + 1 + (p_partkey % 3 = 0)::INT AS d3, p_partkey % 7 AS d4, (p_partkey % 7 > 0)::INT AS span, (p_partkey % 3 = 0)::INT AS hr FROM part),
+c AS (SELECT d3, d4, span, hr, count(*) AS n FROM p GROUP BY ALL),
+l AS (SELECT a.d3, a.d4, a.span, a.hr, sum(b.n) AS n_links FROM c a JOIN c b ON (a.d3, a.d4, a.span, a.hr) <> (b.d3, b.d4, b.span, b.hr)
+  AND ((5 + a.span * b.span + a.hr * b.hr) / (5.0 + greatest(a.span, b.span) + greatest(a.hr, b.hr)) + (3 + least(a.d3, b.d3) + least(a.d4, b.d4)) / (3.0 + greatest(a.d3, b.d3) + greatest(a.d4, b.d4))) / 2 >= 0.9 - 1e-12 GROUP BY ALL)
+SELECT p_partkey AS page_id, c.n - 1 AS n_equal, coalesce(n_links, 0)::BIGINT AS n_links FROM p JOIN c USING (d3, d4, span, hr) LEFT JOIN l USING (d3, d4, span, hr)""",
     "lnk2_made_types": _LINKS + "SELECT type, domain, count(*) AS n FROM m GROUP BY type, domain",
 }
