@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import urls, verdict
 from pageloom.operators import dom, pii
-from pageloom.plans import cases, mixed_queries, page_queries, ranking_queries, record_queries, sql_queries
+from pageloom.plans import cases, made_queries, mixed_queries, page_queries, ranking_queries, record_queries, sql_queries
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,5 +139,5 @@ c AS (SELECT *, trim(regexp_replace(raw, '[\x00-\x1f\x7f]', '', 'g')) AS v FROM
 SELECT page_id, CASE WHEN v <> '' AND (NOT regexp_matches(v, '^[a-zA-Z][a-zA-Z0-9+.-]*:') OR regexp_matches(v, '^(?i)https?://')) THEN v END AS href,
 CASE page_id % 4 WHEN 0 THEN 'javascript:' || regexp_extract(raw, 'script:([^#]*)', 1) ELSE regexp_replace(regexp_replace(raw, '#.*$', ''), '^([a-z][a-z0-9+.-]*://[^/?]*/[^?]*[^?])/(\?.*)?$', '\1\2') END AS key FROM c""",
 }
-QUERIES |= cases.QUERIES | record_queries.QUERIES | mixed_queries.QUERIES | page_queries.QUERIES | ranking_queries.QUERIES | sql_queries.QUERIES
-SQL |= cases.SQL | record_queries.SQL | mixed_queries.SQL | page_queries.SQL | ranking_queries.SQL | sql_queries.SQL
+QUERIES |= cases.QUERIES | record_queries.QUERIES | made_queries.QUERIES | mixed_queries.QUERIES | page_queries.QUERIES | ranking_queries.QUERIES | sql_queries.QUERIES
+SQL |= cases.SQL | record_queries.SQL | made_queries.SQL | mixed_queries.SQL | page_queries.SQL | ranking_queries.SQL | sql_queries.SQL
