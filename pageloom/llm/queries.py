@@ -87,7 +87,7 @@ FROM esc GROUP BY conv_id
 def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     archives = write_archives(with_roles(table(spark, sf_dir, "pages")))
-    index = merge_index(read_archives(archives))
+    index = merge_index(written(read_archives(archives), "captures"))  # ranges are sampled, and the archives shall be parsed once
     return index.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -234,8 +234,11 @@ WITH c AS (
   SELECT conv_id, turn, role, text, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM d
 ), f AS (
   SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial NOT IN ('su', 'ua', 'au') AS illegal,
-    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
-      WHEN regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM o
+    CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
+      WHEN regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM o
 ), y AS (
   SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' WHEN fault = 'truncated' THEN upper(CASE WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'o' END) WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'o' END AS symbol FROM f
 ), g AS (

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ._common import written
 
+PIECE = 16_384
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 RECORD = "record_id long, urlkey string, ts string, archive string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
 
@@ -63,12 +64,17 @@ def record(rid: int | None, url: str, date: str, digest: str, payload: bytes, re
 
 
 def parse(archive: bytes) -> Iterator[tuple[int, int, dict[str, str], dict[str, str], bytes]]:
-    """(offset, length, headers, http headers, payload) of each gzip member of an archive."""
-    at = 0
+    """(offset, length, headers, http headers, payload) of each gzip member of an archive. A member is fed piece by piece, so that no more than a piece of what follows it is looked at."""
+    view, at = memoryview(archive), 0
     while at < len(archive):
-        z = zlib.decompressobj(31)
-        raw = z.decompress(memoryview(archive)[at:])
-        length = len(archive) - at - len(z.unused_data)
+        z, parts, end = zlib.decompressobj(31), [], at
+        while not z.eof:
+            piece = view[end : end + PIECE]
+            if not piece:
+                raise ValueError(f"the WARC member at {at} is cut short")
+            parts.append(z.decompress(piece))
+            end += len(piece)
+        length, raw = end - at - len(z.unused_data), b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         if lines[0] != "WARC/1.1":

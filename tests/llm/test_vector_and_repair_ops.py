@@ -265,3 +265,22 @@ def test_the_query_damages_as_agreed(spark, tmp_path):
     want = {c: (*w[:7], hashlib.sha256("\n".join(f"{a}:{b}" for a, b in w[7]).encode()).hexdigest()) for c, w in expected(damaged).items()}
     got = {r[0]: tuple(r)[1:] for r in queries.op11_conversation_repair(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_archives_are_parsed_in_linear_time():
+    import gzip
+    import time
+
+    from pageloom.llm import warc
+
+    members = [gzip.compress(warc.record(i, f"https://a.test/{i}", "2024-01-01T00:00:00Z", "x", b"y" * (i % 50), None), 1, mtime=0) for i in range(40_000)]
+    begun = time.process_time()
+    at = 0
+    for (offset, length, headers, _, payload), member, i in zip(warc.parse(b"".join(members)), members, range(40_000), strict=True):
+        assert (offset, length, payload) == (at, len(member), b"y" * (i % 50)) and headers["WARC-Record-ID"] == f"<urn:page:{i}>"
+        at += length
+    assert time.process_time() - begun < 20
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc.parse(members[0][:-3]))
+    big = gzip.compress(warc.record(1, "u", "d", "x", bytes(range(256)) * 4000, None), 1, mtime=0)
+    assert [p for *_, p in warc.parse(big + members[3])] == [bytes(range(256)) * 4000, b"yyy"]
