@@ -1,7 +1,9 @@
-"""Columns that the optimizer can't copy."""
+"""Values that are computed once, however often they are named."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,3 +17,8 @@ def bind(df: DataFrame, **columns: Column) -> DataFrame:
     names = list(columns)
     made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], made)
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once. A column is a tree: without this each mention is another copy of it, and copies of copies grow without bound."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))

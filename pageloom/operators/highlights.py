@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pageloom.functions.bind import let
 from pageloom.functions.scalars import SPACE, strip
 from pageloom.kernels.units import segment
 
@@ -117,11 +118,6 @@ def is_reference(text: Column, heading: Column) -> Column:
     return text.contains("](#cite_ref") | F.coalesce(strip(heading).rlike(REFERENCES), F.lit(False))
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once, however often f names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _is(word: str) -> Callable[[Column], Column]:
     return lambda t: t == F.lit(word)
 

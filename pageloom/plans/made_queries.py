@@ -321,11 +321,23 @@ SELECT p_partkey, strftime(make_timestamp(p_partkey * 86400 * 1000000), '%Y-%m-%
   CASE p_partkey % 2 WHEN 0 THEN '' ELSE '1,' || p_partkey END AS codes, CASE p_partkey % 2 WHEN 0 THEN 'https://i.test/I/' || p_partkey || '.jpg' END AS image, p_partkey::VARCHAR AS post, 'r' || p_partkey AS repo, printf('%.2f', p_retailprice) AS fixed, p_name || ' ' || p_partkey AS tidy, p_partkey AS page_limit,
   true AS cited, 'see the ' || p_partkey || ' now' AS visible FROM part"""
 
+def scl5_made_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' dates in seven ways to write them."""
+    k, at = F.col("o_orderkey"), lambda form: F.date_format("o_orderdate", form)
+    clock = _cat(F.lpad((k % 12).cast("string"), 2, "0"), ":", F.lpad((k % 60).cast("string"), 2, "0"), ":07")
+    text = _turn(k, at("MMMM d, yyyy"), at("M/d/yyyy"), at("yyyy/MM/dd"), _cat(at("EEE, dd MMM yyyy "), clock, " EST"), _cat(at("d MMM yyyy "), clock, " +0000 (x)"), _cat(at("yyyy-MM-dd"), "T", clock, "-01:00"), _cat(at("yyyy-MM-dd"), " nor ", k))
+    return _rows(spark, sf_dir, "orders").select("o_orderkey", S.iso_date(text).alias("iso"))
+
+
+_SCL5 = """
+WITH o AS (SELECT o_orderkey, o_orderdate::TIMESTAMP AS d, to_hours(o_orderkey % 12) + to_minutes(o_orderkey % 60) + to_seconds(7) AS clock FROM orders)
+SELECT o_orderkey, strftime(CASE o_orderkey % 7 WHEN 0 THEN d WHEN 1 THEN d WHEN 2 THEN d WHEN 3 THEN d + clock + INTERVAL 5 HOUR WHEN 4 THEN d + clock WHEN 5 THEN d + clock + INTERVAL 1 HOUR END, '%Y-%m-%dT%H:%M:%S.000Z') AS iso FROM o"""
+
 QUERIES = {
     f.__name__: f
-    for f in (emb_made_states, tpl3_made_products, tpl4_made_repos, tpl5_made_videos, tpl7_made_front_pages, tpl8_made_launches, tpl19_made_products, tbl1_made_grids, url2_made_addresses, jsn_made_walks, pii_made_texts, hlt1_made_units, src_made_bodies, scl_made_values)
+    for f in (emb_made_states, tpl3_made_products, tpl4_made_repos, tpl5_made_videos, tpl7_made_front_pages, tpl8_made_launches, tpl19_made_products, tbl1_made_grids, url2_made_addresses, jsn_made_walks, pii_made_texts, hlt1_made_units, src_made_bodies, scl_made_values, scl5_made_dates)
 }
 SQL = {
     "emb_made_states": _STATES, "tpl3_made_products": _TPL3, "tpl4_made_repos": _TPL4, "tpl5_made_videos": _TPL5, "tpl7_made_front_pages": _TPL7, "tpl8_made_launches": _TPL8, "tpl19_made_products": _TPL19, "tbl1_made_grids": _TBL1, "url2_made_addresses": _URL2, "jsn_made_walks": _JSN,
-    "pii_made_texts": _PII, "hlt1_made_units": _HLT1, "src_made_bodies": _SRC, "scl_made_values": _SCL,
+    "pii_made_texts": _PII, "hlt1_made_units": _HLT1, "src_made_bodies": _SRC, "scl_made_values": _SCL, "scl5_made_dates": _SCL5,
 }
