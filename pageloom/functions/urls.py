@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,16 +37,42 @@ TEMPLATES = [
 RETIRED = [("linkedin-profile", r"linkedin\.com/in/"), ("tweet", r"(twitter|x)\.com/[^/]+/status/")]
 
 
+_HIDDEN = re.compile(r"\((?:[^()\\\[]|\\.|\[(?:[^\]\\]|\\.)*\])*\)(?:[?*]|\{\d*,?\d*\})?|\[(?:[^\]\\]|\\.)*\][?*+]?|\\[a-zA-Z][?*+]?|[.][?*+]?|[\^$]|(?:\\.|[^\\])[?*]")
+
+
+def needles(pattern: str) -> list[str]:
+    """Texts of which an address must hold one for the pattern to match: the longest plain text of each alternative; none if an alternative has no plain text."""
+    whole = re.fullmatch(r"\(((?:[^()\\]|\\.|\([^()]*\))*)\)", pattern)
+    out = []
+    for way in re.split(r"\|(?![^(]*\))", whole[1] if whole else pattern):
+        plain = way.replace(r"\.", "\x01")
+        while (shorter := _HIDDEN.sub("\0", plain)) != plain:
+            plain = shorter
+        texts = plain.replace("+", "\0").replace("\x01", ".").split("\0")
+        out.append("" if re.search(r"[\\(){}|\[\]]", plain) else max(texts, key=len).lower())
+    return out if all(out) else []
+
+
+def _matches(url: Column, low: Column, pattern: str) -> Column:
+    """Whether a pattern matches in any case: it is tried where the address holds what it needs."""
+    held = [F.contains(low, F.lit(n)) for n in needles(pattern)]
+    tried = url.rlike(f"(?i){pattern}")
+    return reduce(Column.__or__, held) & tried if held else tried
+
+
 def detect(url: Column, templates: list[tuple[str, str]] = TEMPLATES) -> Column:
-    """The template of a URL: one whose pattern needs the host goes before one that doesn't, then the first registered."""
+    """The template of a URL: one whose pattern needs the host goes before one that doesn't, then the first registered.
+
+    A pattern is tried on addresses that hold its plain text, which is looked for first: most rows are settled without a pattern.
+    """
     elsewhere = F.regexp_replace(url, r"^(?i)(https?://)[^/?#:]+", "$1invalid-host")
-    is_url = url.rlike(r"^(?i)[a-z][a-z0-9+.-]*:")
-    hits = [(F.lit(name), url.rlike(f"(?i){p}"), elsewhere.rlike(f"(?i){p}")) for name, p in templates]
+    is_url, low = url.rlike(r"^(?i)[a-z][a-z0-9+.-]*:"), F.lower(url)
+    hits = [(F.lit(name), _matches(url, low, p), elsewhere.rlike(f"(?i){p}")) for name, p in templates]
     return F.coalesce(*[F.when(hit & is_url & ~other, name) for name, hit, other in hits], *[F.when(hit, name) for name, hit, _ in hits])
 
 
 def retired(url: Column) -> Column:
-    return F.coalesce(*[F.when((url == name) | url.rlike(f"(?i){p}"), F.lit(name)) for name, p in RETIRED])
+    return F.coalesce(*[F.when((url == name) | _matches(url, F.lower(url), p), F.lit(name)) for name, p in RETIRED])
 
 
 def safe_href(url: Column) -> Column:
