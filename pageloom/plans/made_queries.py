@@ -321,6 +321,31 @@ SELECT p_partkey, strftime(make_timestamp(p_partkey * 86400 * 1000000), '%Y-%m-%
   CASE p_partkey % 2 WHEN 0 THEN '' ELSE '1,' || p_partkey END AS codes, CASE p_partkey % 2 WHEN 0 THEN 'https://i.test/I/' || p_partkey || '.jpg' END AS image, p_partkey::VARCHAR AS post, 'r' || p_partkey AS repo, printf('%.2f', p_retailprice) AS fixed, p_name || ' ' || p_partkey AS tidy, p_partkey AS page_limit,
   true AS cited, 'see the ' || p_partkey || ' now' AS visible FROM part"""
 
+def src4_made_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of all nine connectors with parameters out of the customers, good ones and bad ones."""
+    k, company = F.col("c_custkey"), _cat("c o/", F.col("c_custkey"))
+    lists = ["shopify-collection", "greenhouse-jobs", "lever-postings", "ashby-jobs", "workable-jobs", "recruitee-offers", "teamtailor-jobs", "nhtsa-vin", "npi-provider", "github-repo"]
+    given = lambda **named: F.create_map(*[x for n, v in named.items() for x in (F.lit(n), (v if isinstance(v, Column) else F.lit(v)).cast("string"))])
+    shapes = [
+        given(store="shop.test", collection=_cat("c ", k), limit=k % 300, page="2"), given(company=company, content="true"), given(company=company, skip=k % 7, limit="5"), given(company=F.when(k % 20 != 3, company)), given(company=company, details="true"), given(company=_cat("c", k)),
+        given(company=_cat("c", k), per_page=k % 9), given(vin=_cat(" V*", k, " "), modelYear="2011"), given(last_name=F.col("c_name"), limit=(k % 400).cast("string"), state="NY"), given(company=company),
+    ]
+    made = bind(_rows(spark, sf_dir, "customer").select("c_custkey", _turn(k, *lists).alias("t"), _turn(k, *shapes).alias("p")), r=requests.list_urls(F.col("t"), F.col("p")))
+    return made.select("c_custkey", "r.url", "r.error")
+
+
+_SRC4 = """
+WITH c AS (SELECT c_custkey AS k, c_custkey % 300 AS lim, c_custkey % 400 AS npi, c_name FROM customer),
+e AS (SELECT *, CASE k % 10 WHEN 0 THEN CASE WHEN lim NOT BETWEEN 1 AND 250 THEN 'shopify-collection "limit" must be an integer from 1 to 250, got ' || lim || '.' END
+  WHEN 3 THEN CASE WHEN k % 20 = 3 THEN 'ashby-jobs listUrl requires a "company" parameter — the jobs page name in https://jobs.ashbyhq.com/<name>.' END
+  WHEN 8 THEN CASE WHEN npi NOT BETWEEN 1 AND 200 THEN 'npi-provider "limit" must be an integer between 1 and 200. The NPI registry silently caps anything larger instead of reporting it. Got: ' || npi END
+  WHEN 9 THEN 'Template "github-repo" has no list of its own.' END AS error FROM c)
+SELECT k AS c_custkey, CASE WHEN error IS NULL THEN CASE k % 10 WHEN 0 THEN 'https://shop.test/collections/c%20' || k || '/products.json?limit=' || lim || '&page=2' WHEN 1 THEN 'https://boards-api.greenhouse.io/v1/boards/c%20o%2F' || k || '/jobs?content=true'
+  WHEN 2 THEN 'https://api.lever.co/v0/postings/c%20o%2F' || k || '?mode=json&skip=' || k % 7 || '&limit=5' WHEN 3 THEN 'https://api.ashbyhq.com/posting-api/job-board/c%20o%2F' || k WHEN 4 THEN 'https://www.workable.com/api/accounts/c%20o%2F' || k || '?details=true'
+  WHEN 5 THEN 'https://c' || k || '.recruitee.com/api/offers/' WHEN 6 THEN 'https://c' || k || '.teamtailor.com/jobs.rss?per_page=' || k % 9 WHEN 7 THEN 'https://vpic.nhtsa.dot.gov/api/vehicles/DecodeVinValues/V*' || k || '?format=json&modelyear=2011'
+  WHEN 8 THEN 'https://npiregistry.cms.hhs.gov/api/?version=2.1&last_name=' || replace(c_name, '#', '%23') || '&state=NY&limit=' || npi END END AS url, error FROM e"""
+
+
 def scl5_made_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders' dates in seven ways to write them."""
     k, at = F.col("o_orderkey"), lambda form: F.date_format("o_orderdate", form)
@@ -335,9 +360,9 @@ SELECT o_orderkey, strftime(CASE o_orderkey % 7 WHEN 0 THEN d WHEN 1 THEN d WHEN
 
 QUERIES = {
     f.__name__: f
-    for f in (emb_made_states, tpl3_made_products, tpl4_made_repos, tpl5_made_videos, tpl7_made_front_pages, tpl8_made_launches, tpl19_made_products, tbl1_made_grids, url2_made_addresses, jsn_made_walks, pii_made_texts, hlt1_made_units, src_made_bodies, scl_made_values, scl5_made_dates)
+    for f in (emb_made_states, tpl3_made_products, tpl4_made_repos, tpl5_made_videos, tpl7_made_front_pages, tpl8_made_launches, tpl19_made_products, tbl1_made_grids, url2_made_addresses, jsn_made_walks, pii_made_texts, hlt1_made_units, src_made_bodies, scl_made_values, scl5_made_dates, src4_made_requests)
 }
 SQL = {
     "emb_made_states": _STATES, "tpl3_made_products": _TPL3, "tpl4_made_repos": _TPL4, "tpl5_made_videos": _TPL5, "tpl7_made_front_pages": _TPL7, "tpl8_made_launches": _TPL8, "tpl19_made_products": _TPL19, "tbl1_made_grids": _TBL1, "url2_made_addresses": _URL2, "jsn_made_walks": _JSN,
-    "pii_made_texts": _PII, "hlt1_made_units": _HLT1, "src_made_bodies": _SRC, "scl_made_values": _SCL, "scl5_made_dates": _SCL5,
+    "pii_made_texts": _PII, "hlt1_made_units": _HLT1, "src_made_bodies": _SRC, "scl_made_values": _SCL, "scl5_made_dates": _SCL5, "src4_made_requests": _SRC4,
 }
