@@ -16,6 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.functions.bind import bind
 from pageloom.functions.scalars import strip
 from pageloom.operators import highlights as H
 
@@ -39,26 +40,27 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return said.select("query_id", "phrase", wants.alias("wants"), F.explode(F.flatten(F.transform("terms", one))).alias("t")).select("query_id", "phrase", "wants", "t.*")
 
 
-def _units(documents: DataFrame) -> DataFrame:
-    """A row per unit: what it shows, its length for the ranking, its document's number of units and mean length."""
+def _tokens(documents: DataFrame) -> DataFrame:
+    """A row per unit and token: doc_id, unit, token, tf and held; a heading's token counts by half, and not as held. With them go the document's number of units, their mean length and the unit's. Each unit is cut into tokens once."""
 
-    def shown(u: Column) -> Column:
+    def read(u: Column) -> Column:
         own = H.tokenize(H.visible(F.coalesce(u["text"], F.lit(""))))
         above = F.array_distinct(H.tokenize(H.visible(F.coalesce(u["heading"], F.lit("")))))
-        return F.struct(u.alias("u"), own.alias("own"), F.array_except(above, own).alias("above"))
+        return F.struct(own.alias("own"), F.array_except(above, own).alias("above"))
 
     length = lambda x: F.greatest(F.size(x["own"]) + H.HEADING_WEIGHT * F.size(x["above"]), F.lit(H.MIN_LENGTH))
-    read = documents.select("doc_id", F.transform("units", shown).alias("read")).withColumn("lengths", F.transform("read", length))
-    mean = F.aggregate("lengths", F.lit(0.0), lambda s, x: s + x) / F.size("lengths")
-    rows = read.select("doc_id", F.size("read").alias("n"), mean.alias("mean"), "lengths", F.posexplode("read").alias("unit", "r"))
-    return rows.select("doc_id", "unit", "n", "mean", F.get("lengths", F.col("unit")).alias("length"), "r.u", "r.own", "r.above")
+    cut = bind(documents.select("doc_id", "units"), read=F.transform("units", read)).select("doc_id", "read", F.transform("read", length).alias("lengths"))
+    mean = F.aggregate("lengths", F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size("lengths"), F.lit(0))
+    rows = cut.select("doc_id", F.size("read").alias("n"), mean.alias("mean"), "lengths", F.posexplode("read").alias("unit", "r"))
+    said = lambda c, tf, held: F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(tf).alias("tf"), F.lit(held).alias("held")))
+    every = F.concat(said("r.own", 1.0, 1), said("r.above", H.HEADING_WEIGHT, 0))
+    return rows.select("doc_id", "unit", "n", "mean", F.get("lengths", F.col("unit")).alias("length"), F.explode(every).alias("t")).select("doc_id", "unit", "n", "mean", "length", "t.*")
 
 
-def _lists(units: DataFrame, tokens: DataFrame) -> DataFrame:
-    """doc_id, token, n, mean, holding: the units that hold a token, of the tokens that are asked for; a heading's token counts by half, and not as held."""
-    own = units.select("doc_id", "unit", "n", "mean", "length", F.explode("own").alias("token")).join(tokens, "token", "left_semi").groupBy("doc_id", "unit", "n", "mean", "length", "token").agg(F.count(F.lit(1)).cast("double").alias("tf")).withColumn("held", F.lit(1))
-    above = units.select("doc_id", "unit", "n", "mean", "length", F.explode("above").alias("token")).join(tokens, "token", "left_semi").withColumn("tf", F.lit(H.HEADING_WEIGHT)).withColumn("held", F.lit(0))
-    return own.unionByName(above).groupBy("doc_id", "token").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.sum("held").alias("df"), F.collect_list(F.struct("unit", "tf", "length")).alias("holding"))
+def _lists(tokens: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc_id, token, n, mean, df, holding: the units that hold a token, of the tokens that are asked for."""
+    counted = tokens.join(asked, "token", "left_semi").groupBy("doc_id", "unit", "n", "mean", "length", "token").agg(F.sum("tf").alias("tf"), F.max("held").alias("held"))
+    return counted.groupBy("doc_id", "token").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.sum("held").alias("df"), F.collect_list(F.struct("unit", "tf", "length")).alias("holding"))
 
 
 def rank_queries(documents: DataFrame, queries: DataFrame, *, max_units: float = 10, min_score: float = 0) -> DataFrame:
@@ -71,8 +73,8 @@ def rank_queries(documents: DataFrame, queries: DataFrame, *, max_units: float =
     """
     limit = max(1, math.floor(max_units)) if math.isfinite(max_units) else 10
     floor = min_score if math.isfinite(min_score) else 0
-    terms, units = query_terms(queries), _units(documents)
-    lists = _lists(units, terms.select("token").distinct())
+    terms = query_terms(queries)
+    lists = _lists(_tokens(documents), terms.select("token").distinct())
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     found = terms.join(lists, "token").select("query_id", "phrase", "wants", "place", "weight", "doc_id", "mean", idf.alias("idf"), F.explode("holding").alias("h"))
     tf, length = F.col("h.tf"), F.col("h.length")
@@ -82,7 +84,7 @@ def rank_queries(documents: DataFrame, queries: DataFrame, *, max_units: float =
     best = F.aggregate(F.array_sort(F.collect_list("p")), F.create_map().cast("map<int,double>"), lambda m, p: F.map_zip_with(m, F.create_map(p["place"], p["part"]), lambda k, a, b: F.greatest(a, b)))
     dealt = parts.repartition("doc_id", "unit").groupBy("doc_id", "unit", "query_id").agg(F.first("phrase").alias("phrase"), F.first("wants").alias("wants"), best.alias("best"))
     total = F.aggregate(F.transform(F.array_sort(F.map_entries("best")), lambda e: e["value"]), F.lit(0.0), lambda s, x: s + x)
-    texts = units.select("doc_id", "unit", "u")
+    texts = documents.select("doc_id", F.posexplode("units").alias("unit", "u"))
     both = dealt.select("doc_id", "unit", "query_id", "phrase", "wants", total.alias("total")).withColumnRenamed("doc_id", "_doc").withColumnRenamed("unit", "_unit")
     both = both.join(texts, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_unit") == F.col("unit")))
     shown = H.visible(F.coalesce(F.col("u.text"), F.lit("")))
