@@ -19,6 +19,16 @@ def bind(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], made)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df's rows dealt evenly over several tasks a core, for plans that make much of each row.
+
+    A table of keys and names is a file of a few megabytes however many rows it has, and a row group is one task: what is made of its rows
+    would be read by one or two cores. To be called on the narrow rows, before anything is made of them.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """f of a value that is computed once. A column is a tree: without this each mention is another copy of it, and copies of copies grow without bound."""
     return F.get(F.transform(F.array(value), f), F.lit(0))

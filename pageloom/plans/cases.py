@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import scalars as S
 from pageloom.functions import urls, verdict
+from pageloom.functions.bind import spread
 from pageloom.operators import dom, embedded, highlights, markup, pages, pii, records, registry, tables
 from pageloom.sources import body, requests
 
@@ -295,7 +296,7 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         at = (F.col("p_partkey") % len(rows) + 1).cast("int")
         texts = [F.element_at(F.array(*[F.lit(r[i]) for r in rows]), at).alias(f"t{i}") for i in range(len(rows[0]) - 1)]
-        made = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", *texts)
+        made = spread(spark.read.parquet(f"{sf_dir}/part.parquet")).select("p_partkey", *texts)
         return made.select("p_partkey", f(*[F.col(f"t{i}") for i in range(len(texts))]).alias("result"))
 
     return run

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import scalars as S
 from pageloom.functions import urls, verdict
-from pageloom.functions.bind import bind
+from pageloom.functions.bind import bind, spread
 from pageloom.operators import embedded, highlights, pages, pii, registry, tables
 from pageloom.sources import body, requests
 
@@ -27,7 +27,7 @@ def _turn(key: Column, *shapes: Column | str | None) -> Column:
 
 
 def _rows(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 # --- State that pages carry ------------------------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.functions.bind import spread
 from pageloom.operators.registry import Registry
 from pageloom.plans import record_queries as R
 
@@ -26,7 +27,7 @@ def _url(pattern: str, key: Column) -> Column:
 
 def mixed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kind, id, body, url of shop products, packages, vehicles, posts, repositories, boards, and addresses that nothing reads."""
-    part, k = R._read(spark, sf_dir, "part"), F.col("p_partkey")
+    part, k = spread(R._read(spark, sf_dir, "part")), F.col("p_partkey")
     vehicle = R._object(Results=F.array(F.create_map(F.lit("VIN"), k.cast("string"), F.lit("Make"), F.col("p_type"), F.lit("ErrorCode"), F.lit("0"))))
     package = F.struct(F.concat(F.lit("pkg"), k.cast("string")).alias("name"), R._object(latest="1.0.0").alias("dist-tags"), F.create_map(F.lit("1.0.0"), R._object(description=F.col("p_name"), license="MIT")).alias("versions"))
     of_part = [
@@ -38,10 +39,10 @@ def mixed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     # One scan of part: a row for each kind that is made of it.
     rows = part.select(k.alias("id"), F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), body.alias("body"), _url(at, k).alias("url")) for kind, body, at in of_part])).alias("r")).select("r.kind", "id", "r.body", "r.url")
-    orders = R._read(spark, sf_dir, "orders").select(F.lit("post").alias("kind"), F.col("o_orderkey").alias("id"), R._posts().alias("body"), _url("https://www.reddit.com/r/URGENT/comments/{}", F.col("o_orderkey")).alias("url"))
+    orders = spread(R._read(spark, sf_dir, "orders")).select(F.lit("post").alias("kind"), F.col("o_orderkey").alias("id"), R._posts().alias("body"), _url("https://www.reddit.com/r/URGENT/comments/{}", F.col("o_orderkey")).alias("url"))
     c = F.col("c_custkey")
     page = F.when(c % 4 == 0, F.concat(F.lit("<p>"), F.col("c_name"), F.lit("</p>"))).otherwise(F.concat(F.lit('<html><body><a class="topic-tag">'), F.lower("c_mktsegment"), F.lit('</a><article class="markdown-body"><p>'), F.col("c_name"), F.lit("</p></article></body></html>")))
-    customers = R._read(spark, sf_dir, "customer").select(F.lit("repo").alias("kind"), c.alias("id"), page.alias("body"), _url("https://github.com/o/r{}", c).alias("url"))
+    customers = spread(R._read(spark, sf_dir, "customer")).select(F.lit("repo").alias("kind"), c.alias("id"), page.alias("body"), _url("https://github.com/o/r{}", c).alias("url"))
     boards = [df.select(F.lit(name).alias("kind"), F.col("s_nationkey").cast("long").alias("id"), "body", _url(_BOARD_URLS[name], F.col("s_nationkey")).alias("url")) for name, df in R._boards(spark, sf_dir).items()]
     return reduce(DataFrame.unionByName, [rows, orders, customers, *boards])
 

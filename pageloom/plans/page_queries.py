@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.functions.bind import bind
+from pageloom.functions.bind import bind, spread
 from pageloom.operators import dom, similar
 
 
@@ -23,7 +23,7 @@ def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
         cat('<base href="/b/"><a href="m?', name, '">in</a> <a href="https://other.example/">out</a><a href="#f">f</a><a href="mailto:a@b.c">m</a>'),
     ]
     html = F.coalesce(*[F.when(k % len(shapes) == i, s) for i, s in enumerate(shapes)])
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", html.alias("html"), cat("https://shop.example/c/", k.cast("string")).alias("url"))
+    return spread(spark.read.parquet(f"{sf_dir}/customer.parquet")).select("c_custkey", html.alias("html"), cat("https://shop.example/c/", k.cast("string")).alias("url"))
 
 
 def _read(spark: SparkSession, sf_dir: str, *keep: Column) -> DataFrame:
@@ -63,7 +63,7 @@ def str2_made_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for pages made of parts, whose structures SQL can state."""
     k = F.col("p_partkey")
     html = F.concat(F.expr("repeat('<p>x</p>', p_size)"), F.lit("<div>"), F.expr("repeat('<span>y</span>', cast(p_partkey % 7 as int))"), F.lit("</div>"), F.when(k % 3 == 0, "<hr>").otherwise(""))
-    pages = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", html.alias("html"), F.lit("https://a.test/").alias("url"))
+    pages = spread(spark.read.parquet(f"{sf_dir}/part.parquet")).select("p_partkey", html.alias("html"), F.lit("https://a.test/").alias("url"))
     return similar.similar_pages(_structures(pages, "p_partkey")).select("page_id", "n_equal", "n_links")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.functions.bind import spread
 from pageloom.plans import page_queries, table_functions
 
 
@@ -18,7 +19,7 @@ def sql_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of a table for each customer, with a header over two columns and a cell over two rows."""
     table_functions.register(spark)
     html = F.concat(F.lit("<table><tr><th>K<th colspan=2>"), "c_mktsegment", F.lit("<tr><td rowspan=2>"), "c_name", F.lit("<td>1<td>2<tr><td>"), F.col("c_nationkey").cast("string"), F.lit("<td> </table>"))
-    made = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", html.alias("html"))
+    made = spread(spark.read.parquet(f"{sf_dir}/customer.parquet")).select("c_custkey", html.alias("html"))
     return spark.sql("SELECT c_custkey, c.row_idx, c.col_idx, c.is_header, c.text FROM {made}, LATERAL cells_of(html) AS c", made=made)
 
 
