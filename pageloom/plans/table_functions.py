@@ -1,6 +1,6 @@
-"""The operators that give several rows of one value, as Python table functions with Arrow, and the native operators as SQL functions.
+"""The operators that give several rows of one value, as Python table functions, and the native operators as SQL functions.
 
-A table function is called by LATERAL, `FROM pages, LATERAL page_links_of(html, url) AS l`; nulls give no rows. A native SQL function is its
+A call's rows go back as they are: a batch of Arrow for each call would cost more than most calls. A table function is called by LATERAL, `FROM pages, LATERAL page_links_of(html, url) AS l`; nulls give no rows. A native SQL function is its
 operator's expression with the columns as parameters, so that a query that calls it is planned and compiled as if it had been written out.
 """
 
@@ -67,7 +67,7 @@ def _table_function(rows: Callable[..., Iterable[tuple]], kind: str):  # noqa: A
             if all(v is not None for v in values):
                 yield from rows(*values)
 
-    return F.udtf(Rows, returnType=kind, useArrow=True)
+    return F.udtf(Rows, returnType=kind, useArrow=False)
 
 
 # Operators stand in an expression's text as functions, =(a, b); as names they must be quoted. Texts in quotes stay as they are.
