@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,34 @@ def bind(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], made)
 
 
+#: Rows of a batch whose results a worker holds at a time.
+PIECE = 128
+
+
+def piecewise(run: Callable[..., pd.Series | pd.DataFrame], kind: str, columns: int) -> Callable[..., Column]:
+    """A pandas function of some columns that is called, and hands back its rows, by pieces of a batch.
+
+    A batch has thousands of rows. What is made of them (units, links, trees' leavings) takes many times the room of the texts, and would all
+    be held by each worker until the batch is through.
+    """
+
+    def pieces(columns: tuple[pd.Series, ...]) -> Iterator[pd.Series | pd.DataFrame]:
+        for i in range(0, len(columns[0]), PIECE):
+            yield run(*[c.iloc[i : i + PIECE] for c in columns])
+
+    def one(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield from pieces((batch,))
+
+    def some(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield from pieces(batch)
+
+    whole = one if columns == 1 else some
+    whole.__name__ = run.__name__
+    return F.pandas_udf(whole, kind)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df's rows dealt evenly over several tasks a core, for plans that make much of each row.
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pageloom.functions.bind import let
+from pageloom.functions.bind import let, piecewise
 from pageloom.functions.scalars import SPACE, strip
 from pageloom.kernels.units import segment
 
@@ -40,7 +40,7 @@ def segment_units(markdown: Column) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: segment(t) if isinstance(t, str) else [])
 
-    return F.pandas_udf(run, f"array<{UNIT}>")(markdown)
+    return piecewise(run, f"array<{UNIT}>", 1)(markdown)
 
 
 def stem(token: Column) -> Column:

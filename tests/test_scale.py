@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from pageloom.operators import markup, pages
+from pageloom.functions import bind
+from pageloom.operators import dom, highlights, markup, pages
 from pageloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +52,20 @@ def test_plain_fragments_need_no_tree(monkeypatch):
     monkeypatch.setattr(markup, "parse", None)
     assert markup.text_of("<p>a &amp; <b>b</b></p>") == "a & b"
     assert markup.text_of("<p>&lt;b&gt;x", escaped=True) == "x"
+
+
+def test_workers_hold_a_piece_of_a_batch(spark):
+    def size(s):
+        return s.map(lambda _, n=len(s): n)
+
+    sizes = spark.range(0, 3000, 1, 1).select(bind.piecewise(size, "long", 1)("id").alias("n"))
+    assert sizes.agg(F.max("n")).first()[0] == bind.PIECE and sizes.count() == 3000
+    pages_ = spark.createDataFrame([("<p>a</p>", "u")], "html string, url string")
+    for c in (dom.projections("html", "url"), highlights.segment_units(F.col("html"))):
+        assert ", 204" in pages_.select(c)._jdf.queryExecution().executedPlan().toString()  # by iterator
+
+
+def test_pieces_keep_rows_apart(spark):
+    texts = [None, "", *[f"One {i}. Two." for i in range(700)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select("i", highlights.segment_units(F.col("t"))["text"].alias("u")).collect()
+    assert {r.i: r.u for r in rows} == {i: [f"One {i - 2}.", "Two."] if i > 1 else [] for i in range(len(texts))}
