@@ -80,17 +80,21 @@ def rank_queries(documents: DataFrame, queries: DataFrame, *, max_units: float =
     tf, length = F.col("h.tf"), F.col("h.length")
     part = F.col("weight") * F.col("idf") * (tf * (H.K1 + 1)) / (tf + H.K1 * (1 - H.B + H.B * length / F.col("mean")))
     parts = found.select("query_id", "phrase", "wants", "doc_id", F.col("h.unit").alias("unit"), F.struct("place", part.alias("part")).alias("p"))
-    # A unit has as many parts for a query as the query has words, so they can be gathered; they are summed in the order of the terms.
-    best = F.aggregate(F.array_sort(F.collect_list("p")), F.create_map().cast("map<int,double>"), lambda m, p: F.map_zip_with(m, F.create_map(p["place"], p["part"]), lambda k, a, b: F.greatest(a, b)))
-    dealt = parts.repartition("doc_id", "unit").groupBy("doc_id", "unit", "query_id").agg(F.first("phrase").alias("phrase"), F.first("wants").alias("wants"), best.alias("best"))
-    total = F.aggregate(F.transform(F.array_sort(F.map_entries("best")), lambda e: e["value"]), F.lit(0.0), lambda s, x: s + x)
+    # A unit has as many parts for a query as the query has words, so they can be gathered. Sorted, a term's last part is its best; these are summed in the order of the terms.
+    begin = F.struct(F.lit(-1).alias("place"), F.lit(0.0).alias("part"), F.lit(0.0).alias("total"))
+    add = lambda s, p: F.struct(p["place"].alias("place"), p["part"].alias("part"), F.when(s["place"] == p["place"], s["total"]).otherwise(s["total"] + s["part"]).alias("total"))
+    total = F.aggregate(F.array_sort(F.collect_list("p")), begin, add, lambda s: s["total"] + s["part"])
+    dealt = parts.repartition("doc_id", "unit").groupBy("doc_id", "unit", "query_id").agg(F.first("phrase").alias("phrase"), F.first("wants").alias("wants"), total.alias("total"))
     texts = documents.select("doc_id", F.posexplode("units").alias("unit", "u"))
-    both = dealt.select("doc_id", "unit", "query_id", "phrase", "wants", total.alias("total")).withColumnRenamed("doc_id", "_doc").withColumnRenamed("unit", "_unit")
+    both = dealt.withColumnRenamed("doc_id", "_doc").withColumnRenamed("unit", "_unit")
     both = both.join(texts, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_unit") == F.col("unit")))
     shown = H.visible(F.coalesce(F.col("u.text"), F.lit("")))
-    score = F.col("total") * F.aggregate("wants", F.lit(1.0), lambda s, p: s * F.when(F.regexp_like(F.col("shown"), p), H.ANSWER_BOOST).otherwise(1.0))
+    # Patterns are literals, so that they are compiled once, and a score is bound: filters on it would each bring a copy of it along.
+    answers = lambda p: F.when(F.array_contains("wants", F.lit(p)) & F.col("shown").rlike(p), H.ANSWER_BOOST).otherwise(1.0)
+    score = F.col("total") * (answers(H.PERSON) * answers(H.DATE))
     score = score * F.when(F.contains(F.lower("shown"), F.col("phrase")), H.PHRASE_BOOST).otherwise(1.0)
     score = score * F.when(H.is_reference(F.coalesce(F.col("u.text"), F.lit("")), F.col("u.heading")), H.REFERENCE_WEIGHT).otherwise(1.0)
-    scored = both.withColumn("shown", shown).select("query_id", "doc_id", "u", (F.floor(score * 1000 + 0.5) / 1000).alias("score")).where((F.col("score") > 0) & (F.col("score") > floor))
+    rounded = F.floor(score * 1000 + 0.5) / 1000
+    scored = bind(bind(both, shown=shown), score=rounded).select("query_id", "doc_id", "u", "score").where((F.col("score") > 0) & (F.col("score") > floor))
     place = F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), "u.offset"))
     return scored.withColumn("rank", place).where(F.col("rank") <= limit).select("query_id", "doc_id", "rank", "u.text", "u.kind", "u.offset", "u.length", "u.heading", "score")

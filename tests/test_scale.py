@@ -69,3 +69,9 @@ def test_pieces_keep_rows_apart(spark):
     texts = [None, "", *[f"One {i}. Two." for i in range(700)]]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select("i", highlights.segment_units(F.col("t"))["text"].alias("u")).collect()
     assert {r.i: r.u for r in rows} == {i: [f"One {i - 2}.", "Two."] if i > 1 else [] for i in range(len(texts))}
+
+
+def test_a_unit_is_scored_once(spark):
+    """Filters on a score must not bring copies of it along."""
+    plan = registry.QUERIES["hlt8_orders"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("contains(lower(") == 1
