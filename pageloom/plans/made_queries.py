@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pageloom.functions import scalars as S
@@ -141,11 +142,17 @@ _TPL5 = "SELECT p_partkey, p_name AS title, p_partkey AS views, CASE WHEN p_part
 
 
 def tpl7_made_front_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A front page for each brand: its parts are the stories, of which 30 count."""
+    """A front page for each brand: its first parts by key are the stories, of which 30 count.
+
+    A page lists twice as many as count, so that it is still the operator that leaves some out. The rows that come first are found in each
+    task before they meet, since a brand has more parts than a page, or a task, can hold.
+    """
     k = F.col("p_partkey")
     talk = _turn(k, "discuss", _cat(k, "&nbsp;comments"), "1&nbsp;comment")
     story = _cat('<tr class="athing" id="', k, '"><td><span class="titleline"><a href="item?id=', k, '">', F.col("p_name"), '</a></span></td></tr><tr><td class="subtext"><span class="score">', k, ' points</span> <a class="hnuser">u', k, '</a> <span class="age"><a href="item?id=1">1 hour ago</a></span> <a href="item?id=', k, '">', talk, '</a></td></tr><tr class="spacer"></tr>')
-    made = _rows(spark, sf_dir, "part").groupBy("p_brand").agg(_cat("<table>", F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), story.alias("s")))), lambda x: x["s"]), ""), "</table>").alias("html"))
+    place = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey", "p_name"))
+    told = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey is not null and p_name is not null").select("p_brand", "p_partkey", "p_name", place.alias("place")).where(F.col("place") <= 60)
+    made = told.groupBy("p_brand").agg(_cat("<table>", F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", story.alias("s")))), lambda x: x["s"]), ""), "</table>").alias("html"))
     r = bind(made, r=pages.hacker_news(F.col("html"), F.lit("u"))).select("p_brand", F.posexplode("r.data.stories").alias("pos", "s"))
     return r.select("p_brand", "pos", "s.id", "s.title", "s.url", "s.score", "s.author", "s.comments")
 
