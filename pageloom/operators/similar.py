@@ -66,6 +66,20 @@ def classes_of(pages: DataFrame) -> DataFrame:
     return pages.withColumn("class", F.md5(F.concat_ws("|", F.array_join(F.array_sort(F.array_distinct("tags")), ","), F.to_json(entries))))
 
 
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _moved(side: DataFrame) -> DataFrame:
+    """A side of a join that is dealt to tasks by the key, as the other one is, and neither goes through the driver.
+
+    Pages that are made of keys come from a file of a few megabytes, and Spark takes what is made of its rows for as small: it would broadcast
+    every page's class.
+    """
+    return side.hint("merge")
+
+
 def similar_structures(pages: DataFrame, *, threshold: float = 0.9) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, links) of pages: page_id, tags, depths.
 
@@ -76,18 +90,20 @@ def similar_structures(pages: DataFrame, *, threshold: float = 0.9) -> tuple[Dat
     if not 0.5 < threshold <= 1:
         raise ValueError("threshold must lie above 0.5")
     least = 2 * threshold - 1
-    members = classes_of(pages.where("tags is not null and depths is not null"))
+    # Dealt once and read again by all that follows, which names every column, so that Spark sees the same exchange: pages are parsed once.
+    dealt = classes_of(pages.where("tags is not null and depths is not null").select("page_id", "tags", "depths")).repartition(_tasks(pages), "page_id", "class")
+    members = bind(dealt, **{c: F.col(c) for c in ("page_id", "class", "tags", "depths")})
     classes = members.groupBy("class").agg(F.count(F.lit(1)).alias("n_pages"), F.first("tags").alias("tags"), F.first(F.map_entries("depths")).alias("depths"))
-    classes = classes.select("class", "n_pages", "tags", F.map_from_entries("depths").alias("depths"))
+    classes = bind(classes, n_pages=F.col("n_pages"), tags=F.col("tags"), depths=F.map_from_entries("depths"))
     total = F.aggregate(F.map_values("depths"), F.lit(0).cast("long"), lambda s, x: s + x)
     step = F.lit(0) if least >= 1 else F.floor(F.log(F.greatest(F.col("total"), F.lit(1))) / math.log(1 / least) + F.lit(1e-9)).cast("int")
     sized = bind(classes.select("class", "depths", total.alias("total")), keys=band_keys(F.col("depths"))).select("class", "total", step.alias("step"), F.posexplode("keys").alias("band", "key"))
     left = sized.select(F.col("class").alias("a"), F.col("total").alias("total_a"), "band", "key", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
     right = sized.select(F.col("class").alias("b"), F.col("total").alias("total_b"), "band", "key", "step")
     fits = F.least("total_a", "total_b") >= F.lit(least - 1e-9) * F.greatest("total_a", "total_b")
-    pairs = left.join(right, ["band", "key", "step"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    pairs = left.join(_moved(right), ["band", "key", "step"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
     own = lambda x: classes.select(F.col("class").alias(x), F.col("tags").alias(f"tags_{x}"), F.col("depths").alias(f"depths_{x}"))
-    both = pairs.join(own("a"), "a").join(own("b"), "b")
+    both = pairs.join(_moved(own("a")), "a").join(_moved(own("b")), "b")
     alike = dom.similarity(F.col("tags_a"), F.col("depths_a"), F.col("tags_b"), F.col("depths_b"))
     links = bind(both, similarity=alike).where(F.col("similarity") >= F.lit(threshold - 1e-12)).select("a", "b", "similarity")
     return members.select("page_id", "class"), classes.select("class", "n_pages"), links
@@ -97,6 +113,6 @@ def similar_pages(pages: DataFrame, *, threshold: float = 0.9) -> DataFrame:
     """A row per page: page_id, class, n_equal (other pages of its class) and n_links (pages of other classes that are similar to it)."""
     members, classes, links = similar_structures(pages, threshold=threshold)
     ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("class"), F.col("b").alias("other")), F.struct(F.col("b").alias("class"), F.col("a").alias("other")))).alias("e")).select("e.*")
-    counts = ends.join(classes.select(F.col("class").alias("other"), "n_pages"), "other").groupBy("class").agg(F.sum("n_pages").alias("n_links"))
+    counts = ends.join(_moved(classes.select(F.col("class").alias("other"), "n_pages")), "other").groupBy("class").agg(F.sum("n_pages").alias("n_links"))
     found = classes.join(counts, "class", "left").select("class", (F.col("n_pages") - 1).alias("n_equal"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return members.join(found, "class").select("page_id", "class", "n_equal", "n_links")
+    return members.join(_moved(found), "class").select("page_id", "class", "n_equal", "n_links")

@@ -2,10 +2,13 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.plans import made_queries, record_queries
+from pageloom.functions.bind import bind
+from pageloom.operators import similar
+from pageloom.plans import made_queries, page_queries, record_queries
 
 
 @pytest.fixture
@@ -31,3 +34,22 @@ def test_a_collection_comes_in_bodies_of_bounded_size(spark, one_brand, monkeypa
     each = [len(json.loads(r.body)["products"]) for r in bodies[0].collect()]
     assert sum(each) == 1003 and len(each) == 5 and max(each) < 400
     assert sorted((r.p_brand or "", int(r.product_id), r["count"], r.limit, r.has_more) for r in got) == [("", i, 3, 3, True) for i in range(1000, 1003)] + [("B", i, 1000, 1000, True) for i in range(1000)]
+
+
+def test_pages_of_a_small_file_dont_go_through_the_driver(spark, one_brand):
+    """Only what a stage has shown to be small may be broadcast, not what a file's size lets Spark guess."""
+    assert "BroadcastExchange" not in page_queries.str2_made_links(spark, one_brand)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_are_parsed_once_for_classes_and_members(spark, one_brand):
+    """All that is made of the pages reads the same exchange."""
+    counted = spark.sparkContext.accumulator(0)
+
+    def structure(ids):
+        for s in ids:
+            counted.add(len(s))
+            yield pd.DataFrame({"tags": [["a"] * (1 + i % 3) for i in s], "depths": [{1: 1 + i % 7} for i in s]})
+
+    read = F.pandas_udf(structure, "struct<tags: array<string>, depths: map<int,int>>", functionType=F.PandasUDFType.SCALAR_ITER).asNondeterministic()
+    pages = bind(spark.range(500), p=read("id")).select(F.col("id").alias("page_id"), "p.tags", "p.depths")
+    assert similar.similar_pages(pages).count() == 500 and counted.value == 500
